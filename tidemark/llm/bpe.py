@@ -13,6 +13,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_c
                 batch = whole.slice(at, 512)
                 t = tables()
                 lists = batch.column(1)
-                counts = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
                 if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= len(t["size"])):
                     raise ValueError("an id is not in the vocabulary")

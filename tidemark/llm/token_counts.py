@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -92,7 +93,7 @@ def count_tokens(df: DataFrame, definition: str, pattern: str, limit: int = 512,
         if "counter" not in state:
             state["counter"] = Counter(*shared.value)
         texts = batch.column(1)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
         tokens = state["counter"](texts.to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
