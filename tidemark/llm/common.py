@@ -42,11 +42,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             first = last
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """``fn`` over bounded slices of ``df``."""
 
     def run(batches):
-        for part in slices(batches, column):
+        for part in slices(batches, column, most):
             made = fn(part)
             if made is not None:
                 yield made

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, token_counts
+from . import bpe, decontaminate, pii, substring_dedup, token_counts
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,12 @@ def query(fn):
     return fn
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_benchmark_words(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -47,6 +53,26 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("spans"), pii.BASE), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+ORACLES["op2_substring_dedup"] = r"""
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents),
+windows as (
+  select doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) as win
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50)),
+lows as (select win, min(doc_id) as low from windows group by win),
+gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) as p
+  from (select doc_id, i from windows join lows using (win) where low < doc_id)),
+places as (select doc_id, w, unnest(range(1, len(w) + 1)) as p from words),
+kept as (
+  select doc_id, string_agg(w[p], ' ' order by p) as kept, count(*) as n
+  from (select places.doc_id, places.w, places.p from places anti join gone on places.doc_id = gone.doc_id and places.p = gone.p)
+  group by doc_id)
+select words.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from words left join kept using (doc_id)
+"""
+
 ORACLES["op6_decontaminate"] = r"""
 with words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w
