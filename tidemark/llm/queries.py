@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, substring_dedup, token_counts
+from . import bpe, decontaminate, line_dedup, pii, substring_dedup, token_counts, url_filter
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,22 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Rules of the contract: (host, path, verdict).
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "block_odds")
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_repeated_lines(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_benchmark_words(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -73,6 +89,23 @@ select words.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n
 from words left join kept using (doc_id)
 """
 
+ORACLES["op4_line_dedup"] = r"""
+with docs as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
+hashed as (select doc_id, text, lines, list_transform(lines, lambda l: cast('0x' || substr(md5(l), 1, 7) as bigint)) as hs from docs),
+marked as (
+  select doc_id, lines, i, i = len(lines) or (hs[i] + 33 * case when i > 1 then hs[i - 1] else 0 end) % 4 = 0 as is_end
+  from (select doc_id, lines, hs, unnest(range(1, len(lines) + 1)) as i from hashed)),
+placed as (select doc_id, lines[i] as line, i, coalesce(sum(cast(is_end as int)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as place from marked),
+chunks as (select doc_id, place, string_agg(line, chr(10) order by i) as chunk, count(*) as n, sum(cast(regexp_matches(line, '[^ \t\n\x0B\f\r]') as int)) as full_lines from placed group by doc_id, place),
+ranked as (select doc_id, place, n, row_number() over (partition by chunk order by doc_id, place) as k from chunks where full_lines >= 2),
+gone as (select doc_id, place, n from ranked where k > 1),
+removed as (select doc_id, sum(n) as n from gone group by doc_id),
+kept as (select chunks.doc_id, string_agg(chunk, chr(10) order by chunks.place) as kept from chunks anti join gone on chunks.doc_id = gone.doc_id and chunks.place = gone.place group by chunks.doc_id)
+select docs.doc_id, cast(coalesce(len(lines), 0) as bigint) as n_lines, cast(coalesce(n, 0) as bigint) as n_removed,
+  case when text is not null then sha256(coalesce(kept, '')) end as kept_sha256
+from docs left join removed using (doc_id) left join kept using (doc_id)
+"""
+
 ORACLES["op6_decontaminate"] = r"""
 with words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w
