@@ -6,7 +6,8 @@ counted from all urls of the table:
 
 * the unigram counts are how often each lexicon word stands alone between separators;
 * a url that holds a seed word of the block list between separators is a block example, one that holds none an allow
-  example; the words of the segmented examples, hashed to ``BUCKETS`` features, make the class counts.
+  example; the words of the segmented examples, hashed to ``BUCKETS`` features, make the class counts. Each seed word
+  counts once more in its class, so that a table without it still has an opinion.
 
 So what reaches the driver is bounded by the lexicon and by two rows of ``BUCKETS``.
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 BUCKETS = 4096
+#: Added to each class count.
+SMOOTHING = 0.05
 
 #: Words of names that a text corpus does without.
 BLOCK_WORDS = """ad ads adult affiliate bet bets betting bingo bonus casino cheap click clicks cracked dating discount
@@ -174,7 +177,10 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "
     urls = with_host_and_path(df, id_col, url_col)
     counts = lexicon_counts(urls)
     words, examples = class_counts(urls, counts)
-    weight = np.log((words[1] + 1) / (words[1].sum() + BUCKETS)) - np.log((words[0] + 1) / (words[0].sum() + BUCKETS))
+    for kind, seeds in enumerate((ALLOW_WORDS, BLOCK_WORDS)):
+        np.add.at(words[kind], [bucket(w) for w in seeds], 1)
+    smooth = (words + SMOOTHING) / (words + SMOOTHING).sum(axis=1, keepdims=True)
+    weight = np.log(smooth[1]) - np.log(smooth[0])
     prior = math.log((examples[1] + 1) / (examples[0] + 1))
     state: dict[str, object] = {}
 
