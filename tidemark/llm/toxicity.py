@@ -1,6 +1,6 @@
 r"""Toxicity: a logistic classifier with a counterfactual penalty.
 
-A document is the set of its lower-cased words ``\w+`` and their prefixes of 3 to 6 characters. The loss is class-balanced
+A document is the set of its lower-cased words ``\w+`` and their prefixes of 3 to 8 characters. The loss is class-balanced
 logistic loss, plus an L2 term, plus the counterfactual term: identity terms in labelled sentences are swapped for other
 identity terms and for neutral nouns, and the squared change of the score is penalised. So a mention of a group moves no
 score, whatever the groups that happen to stand in toxic rows. As a corpus may hold few such sentences, one neutral
@@ -48,7 +48,7 @@ CARRIER = {"en": "my {} friends came to dinner", "de": "meine {} freunde kamen z
 TERM_LANG = {t: lang for lang, terms in reversed(IDENTITY_TERMS.items()) for t in terms}
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Words whose features a worker keeps.
 MEMO = 200_000
 
