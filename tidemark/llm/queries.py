@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, pii, substring_dedup, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, line_dedup, minhash, pii, substring_dedup, token_counts, toxicity, url_filter
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, threshold=(80, 100))
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_benchmark_words(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -111,6 +116,23 @@ select docs.doc_id, cast(coalesce(len(lines), 0) as bigint) as n_lines, cast(coa
 from docs left join removed using (doc_id) left join kept using (doc_id)
 """
 
+ORACLES["op5_minhash"] = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + least(4, len(w)) - 1), ' ') as s
+  from (select doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n_both from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * n_both >= 80 * (x.n + y.n - n_both)),
+edges as (select a, b from links union all select b, a from links),
+reached as (select a as doc_id, b as other from edges union select reached.doc_id, edges.b from reached join edges on reached.other = edges.a),
+lows as (select doc_id, min(other) as low from reached group by doc_id)
+select words.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, least(words.doc_id, coalesce(low, words.doc_id)) as component_id, words.doc_id <= coalesce(low, words.doc_id) as kept
+from words left join sizes using (doc_id) left join lows using (doc_id)
+"""
+
 ORACLES["op6_decontaminate"] = r"""
 with words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w
