@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, minhash, pii, substring_dedup, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, embed_dedup, line_dedup, minhash, pii, substring_dedup, token_counts, toxicity, url_filter
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("spans"), pii.BASE), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+@query
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 ORACLES["op2_substring_dedup"] = r"""
 with words as (
   select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
@@ -154,3 +159,18 @@ select words.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0)
   sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from words left join hit using (doc_id) left join named using (doc_id)
 """
+
+ORACLES["op10_embeddings"] = r"""
+with recursive vectors as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.98),
+reached as (select a as vec_id, b as other from links union select reached.vec_id, links.b from reached join links on reached.other = links.a),
+lows as (select vec_id, min(other) as low from reached group by vec_id),
+counts as (select a as vec_id, count(*) as n from links group by a)
+select e.vec_id, cast(coalesce(n, 0) as bigint) as n_links, least(e.vec_id, coalesce(low, e.vec_id)) as component_id, e.vec_id <= coalesce(low, e.vec_id) as kept
+from embeddings e left join counts using (vec_id) left join lows using (vec_id)
+"""
