@@ -247,11 +247,14 @@ def remove_repeats(df: DataFrame, width: int = 50, period: int = 31, id_col: str
     """(doc_id, n_words, n_removed, spans array<struct<start,end>> in words, kept string): every document without its repeats."""
     if not 1 <= period <= width:
         raise ValueError("the period must not be longer than the window")
-    docs = id_and_text(df, id_col, text_col).withColumn("tkey", F.hash("text")).repartition("doc_id")
+    rows = id_and_text(df, id_col, text_col)
+    # Every branch below must see the same exchange: the same two columns, and no filter that only one of them pushes down.
+    docs = rows.where("doc_id is not null").repartition("doc_id")
+    tkey = F.hash("text").alias("tkey")
     # One copy of each text: the smallest id. Copies of a smaller id are settled without a look at their words.
-    firsts = docs.where("doc_id is not null").groupBy(F.md5("text").alias("content")).agg(F.min("doc_id").alias("first_id"))
+    firsts = docs.groupBy(F.md5("text").alias("content")).agg(F.min("doc_id").alias("first_id"))
     firsts = firsts.groupBy(F.col("first_id")).agg(F.lit(True).alias("is_first"))
-    seen = docs.join(firsts, docs["doc_id"] == firsts["first_id"], "left").select("doc_id", "text", "tkey", "is_first")
+    seen = docs.join(firsts, docs["doc_id"] == firsts["first_id"], "left").select("doc_id", "text", "is_first")
     anchors = map_batches(seen.where("is_first").select("doc_id", "text"), _anchors(width, period), "key long, doc long, pos int, state byte", most=SLICE)
     by_key = Window.partitionBy("key")
     shared = (
@@ -260,7 +263,7 @@ def remove_repeats(df: DataFrame, width: int = 50, period: int = 31, id_col: str
         .groupBy("doc")
         .agg(F.collect_list("pos").alias("places"))
     )
-    near = docs.join(shared, docs["doc_id"] == shared["doc"]).select("doc_id", "text", "tkey", "places")
+    near = docs.join(shared, docs["doc_id"] == shared["doc"]).select("doc_id", "text", tkey, "places")
     windows = map_batches(near, _candidates(width, period), "key long, more int, doc long, tkey int, first int, last int, direct boolean", most=SLICE)
     by_window = Window.partitionBy("key", "more")
     repeated = (
@@ -269,5 +272,7 @@ def remove_repeats(df: DataFrame, width: int = 50, period: int = 31, id_col: str
         .groupBy("doc")
         .agg(F.collect_list(F.struct("tkey", "first", "last")).alias("repeats"))
     )
-    final = seen.join(repeated, seen["doc_id"] == repeated["doc"], "left").select("doc_id", "text", "tkey", (F.col("doc_id").isNotNull() & F.col("is_first").isNull()).alias("copy"), "repeats")
+    final = seen.join(repeated, seen["doc_id"] == repeated["doc"], "left").select("doc_id", "text", tkey, F.col("is_first").isNull().alias("copy"), "repeats")
+    nameless = rows.where("doc_id is null").select("doc_id", "text", tkey, F.lit(False).alias("copy"), F.lit(None).cast(final.schema["repeats"].dataType).alias("repeats"))
+    final = final.unionByName(nameless)
     return map_batches(final, _kept(width), "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
