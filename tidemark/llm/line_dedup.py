@@ -31,27 +31,25 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def chunk_edges(lines: Column, window: int, divisor: int) -> Column:
-    """Place of the last line of each chunk, from 0."""
-    hashes = F.transform(lines, line_hash)
+def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as a column that later expressions read. A projection would be folded into them and run for each use,
+    which inside a lambda is once an element; a generator of one row is not."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
-    def ends(hs: Column) -> Column:
-        n = F.size(hs)
 
-        def rolled(i: Column) -> Column:
-            value = F.lit(0).cast("long")
-            for back in range(window):
-                value = value + F.when(i >= back, F.get(hs, i - back)).otherwise(F.lit(0).cast("long")) * (ROLL**back)
-            return value % divisor == 0
-
-        return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | rolled(i))
-
-    return F.element_at(F.transform(F.array(hashes), ends), 1)
+def chunked(docs: DataFrame, window: int, divisor: int) -> DataFrame:
+    """docs with ``lines`` and ``edges``, the place of the last line of each chunk from 0."""
+    hashed = fixed(fixed(docs, "lines", F.split("text", "\n", -1)), "hashes", F.transform("lines", line_hash))
+    n = F.size("hashes")
 
+    def ends(h: Column, i: Column) -> Column:
+        value = h
+        for back in range(1, window):
+            value = value + F.coalesce(F.when(i >= back, F.get("hashes", i - back)), F.lit(0).cast("long")) * (ROLL**back)
+        return F.when((i == n - 1) | (value % divisor == 0), i).otherwise(-1)
 
-def chunked(docs: DataFrame, window: int, divisor: int) -> DataFrame:
-    """docs with ``lines`` and ``edges``."""
-    return docs.withColumn("lines", F.split("text", "\n", -1)).withColumn("edges", chunk_edges(F.col("lines"), window, divisor))
+    edges = F.filter(F.transform("hashes", ends), lambda i: i >= 0)
+    return fixed(hashed, "edges", edges).drop("hashes")
 
 
 def first_line(k: Column) -> Column:
@@ -63,35 +61,38 @@ def chunk_text(k: Column) -> Column:
     return F.array_join(F.slice("lines", first + 1, F.get("edges", k) - first + 1), "\n")
 
 
-def _exploded(parts: DataFrame) -> DataFrame:
-    """(doc_id, place, chunk) of the chunks that may be removed."""
-    pairs = F.transform("edges", lambda e, k: F.struct(k.alias("place"), chunk_text(k).alias("chunk")))
-    rows = parts.select("doc_id", F.inline(pairs))
-    return rows.where(F.col("chunk").rlike(r"\S[^\n]*\n(?s:.*)\S"))
+#: Two non-blank lines: the first non-blank line, its end, a non-blank character after it. Anchored and possessive, so linear.
+TWO_LINES = r"\A\s*+\S[^\n]*+\n\s*+\S"
 
 
 def remove_repeated_lines(df: DataFrame, window: int = 2, divisor: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, kept string, spans array<struct<start,end>> of the removed lines) of every document."""
-    docs = id_and_text(df, id_col, text_col).withColumn("tkey", F.hash("text")).repartition("doc_id")
-    parts = chunked(docs.where("doc_id is not null and text is not null"), window, divisor)
-    hashed = _exploded(parts).select("doc_id", "place", F.xxhash64("chunk").alias("h"))
+    rows = id_and_text(df, id_col, text_col)
+    # Every branch below must see the same exchange: the same two columns, and no filter that only one of them pushes down.
+    docs = rows.where("doc_id is not null and text is not null").repartition("doc_id")
+    chunks = F.transform("edges", lambda e, k: F.struct(k.alias("place"), chunk_text(k).alias("chunk")))
+    parts = chunked(docs, window, divisor).select("doc_id", F.inline(chunks)).where(F.col("chunk").rlike(TWO_LINES))
+    hashed = parts.select("doc_id", "place", F.xxhash64("chunk").alias("h"))
     repeated = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
     wanted = hashed.join(repeated, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("wanted")).withColumnRenamed("doc_id", "wanted_id")
     near = chunked(docs, window, divisor).join(wanted, docs["doc_id"] == wanted["wanted_id"])
-    near = near.withColumn("wanted", F.filter("wanted", lambda k: k < F.size("edges")))  # another text of a repeated id may be shorter
-    pairs = F.transform(F.array_sort("wanted"), lambda k: F.struct(k.alias("place"), chunk_text(k).alias("chunk")))
-    chunks = near.select("doc_id", "tkey", pairs.alias("pairs"))
-    texts = F.transform("pairs", lambda p: p["chunk"])
-    chunks = chunks.withColumn("texts", texts).select("doc_id", "tkey", F.inline(F.transform("pairs", lambda p, i: F.struct(p["place"].alias("place"), p["chunk"].alias("chunk"), (F.array_position("texts", p["chunk"]) <= i).alias("again")))))
+    there = F.array_sort(F.filter("wanted", lambda k: k < F.size("edges")))  # another text of a repeated id may be shorter
+    near = fixed(near, "places", there)
+    near = fixed(near, "texts", F.transform("places", chunk_text)).withColumn("tkey", F.hash("text"))
+    rows_of = F.transform("places", lambda k, i: F.struct(k.alias("place"), F.get("texts", i).alias("chunk"), (F.array_position("texts", F.get("texts", i)) <= i).alias("again")))
+    chunks = near.select("doc_id", "tkey", F.inline(rows_of))
     chunks = chunks.withColumn("h", F.xxhash64("chunk"))
     firsts = chunks.groupBy("h", "chunk").agg(F.min("doc_id").alias("first_id"))
     gone = chunks.join(firsts, ["h", "chunk"]).where("again or doc_id > first_id").groupBy("doc_id").agg(F.collect_set(F.struct("tkey", "place")).alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    final = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left").select("doc_id", "text", "tkey", "gone")
-    touched = chunked(final, window, divisor).withColumn("places", F.array_sort(F.transform(F.filter("gone", lambda g: g["tkey"] == F.col("tkey")), lambda g: g["place"])))
+    final = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left").select("doc_id", "text", "gone")
+    own = F.array_sort(F.transform(F.filter("gone", lambda g: g["tkey"] == F.hash("text")), lambda g: g["place"]))
+    touched = fixed(chunked(final, window, divisor), "places", own)
     spans = F.coalesce(F.transform("places", lambda k: F.struct(first_line(k).alias("start"), (F.get("edges", k) + 1).alias("end"))), F.array().cast("array<struct<start:int,end:int>>"))
-    touched = touched.withColumn("spans", spans)
+    touched = fixed(touched, "spans", spans)
     left = F.filter("lines", lambda line, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
     kept = F.when(F.size("spans") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
-    return touched.select("doc_id", lines.alias("n_lines"), removed.alias("n_removed"), kept.alias("kept"), "spans")
+    made = touched.select("doc_id", F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"), kept.alias("kept"), "spans")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    whole = rows.where("doc_id is null or text is null").select("doc_id", lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"), F.array().cast(made.schema["spans"].dataType).alias("spans"))
+    return made.unionByName(whole)
