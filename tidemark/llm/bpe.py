@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_and_text, list_array, map_batches, spread
+from .common import id_and_text, list_array, map_batches, spread, uncarried
 from .merges import PairTable, replay
 
 #: Distinct pre-tokens whose ids a worker keeps.
@@ -81,8 +82,8 @@ class Encoder:
         return self.flat[spread(self.start[at], sizes)], np.diff(ends[edge])
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>): the ids of every whole text."""
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids array<int>): the ids of every whole text; with ``carried``, also text and those columns."""
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
     state: dict[str, Encoder] = {}
 
@@ -92,11 +93,11 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
         flat, sizes = state["encoder"](batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), list_array(flat, sizes)], names=["doc_id", "ids"])
 
-    return map_batches(id_and_text(df, id_col, text_col), run, "doc_id long, ids array<int>")
+    return uncarried(map_batches(id_and_text(df, id_col, text_col, carried), run, "doc_id long, ids array<int>"))
 
 
-def decode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, ids, decoded binary): the bytes that the ids stand for; a null list gives none, an unknown id is an error."""
+def decode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids, decoded binary, and ``carried`` columns): the bytes that the ids stand for; a null list gives none, an unknown id is an error."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     state: dict[str, np.ndarray] = {}
 
@@ -128,7 +129,10 @@ def decode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_c
                     made = pa.array([data[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
                 else:
                     made = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, made], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, made, *batch.columns[2:]], names=names)
 
-    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return picked.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    also = [F.struct(*carried).alias("carried")] if carried else []
+    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"), *also)
+    names = ["doc_id", "ids", "decoded", *picked.columns[2:]]
+    kind = T._parse_datatype_string("doc_id long, ids array<int>, decoded binary")
+    return uncarried(picked.mapInArrow(run, T.StructType([*kind, *picked.schema[2:]])))

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker takes apart at a time.
 SLICE_BYTES = 4 << 20
@@ -20,9 +21,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns that an operator reads, so that other columns may have any name."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """Only the two columns that an operator reads, so that other columns may have any name; ``carried`` ones in a struct."""
+    also = [F.struct(*carried).alias("carried")] if carried else []
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *also)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -43,15 +45,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
-    """``fn`` over bounded slices of ``df``."""
+    """``fn`` over bounded slices of ``df``. Where ``df`` has a column ``carried``, ``fn`` gives a row for each of its rows
+    and ``text`` and ``carried`` go along."""
+    kind = T._parse_datatype_string(schema)
+    along = [c for c in ("text", "carried") if "carried" in df.columns]
+    for name in along:
+        kind = kind.add(name, df.schema[name].dataType)
 
     def run(batches):
         for part in slices(batches, column, most):
             made = fn(part)
             if made is not None:
+                for name in along:
+                    made = made.append_column(name, part.column(part.schema.get_field_index(name)))
                 yield made
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, kind)
+
+
+def uncarried(df: DataFrame) -> DataFrame:
+    """Carried columns as columns of their own."""
+    return df.select(*[c for c in df.columns if c != "carried"], "carried.*") if "carried" in df.columns else df
 
 
 def list_array(flat: np.ndarray, lengths: np.ndarray) -> pa.ListArray:

@@ -12,12 +12,13 @@ to one, repeated rows too, and equal windows count for every item that holds the
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches
+from .common import id_and_text, map_batches, uncarried, written
 
 #: Bytes of benchmark text that one pass over the corpus searches for; a larger benchmark takes several passes.
 PASS_BYTES = 8 << 20
@@ -126,23 +127,25 @@ def _blocks(benchmark: DataFrame, most: int):
         yield block
 
 
-def find_benchmark_words(df: DataFrame, benchmark: DataFrame, width: int = 13, pass_bytes: int = PASS_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, hits array<struct<start,end>> in words, items array<string>, n_hit, contaminated) of every document.
+def find_benchmark_words(df: DataFrame, benchmark: DataFrame, width: int = 13, pass_bytes: int = PASS_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, hits array<struct<start,end>> in words, items array<string>, n_hit, contaminated) of every document;
+    with ``carried``, also text and those columns.
 
     A document is contaminated where ``n_hit > 0`` and at least a twentieth of its words is hit. Tables of at most
     ``pass_bytes`` of benchmark are broadcast; further blocks are searched in passes of their own and joined by row.
     """
-    docs = id_and_text(df, id_col, text_col)
+    docs = id_and_text(df, id_col, text_col, carried)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null")
     blocks = list(_blocks(items, pass_bytes)) or [[]]
     if len(blocks) == 1:
         found = _search(docs, blocks[0], width)
     else:
-        from functools import reduce
-
-        parts = [_search(docs.withColumn("text", F.col("text")), b, width) for b in blocks]
-        every = reduce(DataFrame.unionByName, parts)
-        found = every.groupBy("doc_id").agg(
+        # A row's own number joins its passes again; equal rows are told apart by it.
+        docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        numbered = docs.select("doc_id", "text", F.struct("row", *(["carried"] if carried else [])).alias("carried"))
+        every = reduce(DataFrame.unionByName, [_search(numbered, b, width) for b in blocks])
+        together = ["doc_id", F.col("carried.row").alias("row")]
+        found = every.groupBy(*together).agg(
             F.max("n_words").alias("n_words"),
             F.flatten(F.collect_list("hits")).alias("all_hits"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -153,6 +156,7 @@ def find_benchmark_words(df: DataFrame, benchmark: DataFrame, width: int = 13, p
             last = F.element_at(done, -1)
             return F.when((F.size(done) > 0) & (h["start"] <= last["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], h["end"]).alias("end"))))).otherwise(F.concat(done, F.array(h)))
 
-        found = found.select("doc_id", "n_words", F.aggregate(F.array_sort("all_hits"), zero, join_next).alias("hits"), "items")
+        found = found.select("doc_id", "row", "n_words", F.aggregate(F.array_sort("all_hits"), zero, join_next).alias("hits"), "items")
+        found = found.drop("doc_id").join(docs, "row").select("doc_id", "n_words", "hits", "items", *(["text", "carried"] if carried else []))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + (h["end"] - h["start"]).cast("long"))
-    return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return uncarried(found).withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

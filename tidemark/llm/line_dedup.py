@@ -66,7 +66,10 @@ TWO_LINES = r"\A\s*+\S[^\n]*+\n\s*+\S"
 
 
 def remove_repeated_lines(df: DataFrame, window: int = 2, divisor: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept string, spans array<struct<start,end>> of the removed lines) of every document."""
+    """(doc_id, tkey, n_lines, n_removed, kept string, spans array<struct<start,end>> of the removed lines) of every document.
+
+    tkey is xxhash64 of the text; (doc_id, tkey) finds a result again.
+    """
     rows = id_and_text(df, id_col, text_col)
     # Every branch below must see the same exchange: the same two columns, and no filter that only one of them pushes down.
     docs = rows.where("doc_id is not null and text is not null").repartition("doc_id")
@@ -92,7 +95,7 @@ def remove_repeated_lines(df: DataFrame, window: int = 2, divisor: int = 4, id_c
     left = F.filter("lines", lambda line, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
     kept = F.when(F.size("spans") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))
-    made = touched.select("doc_id", F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"), kept.alias("kept"), "spans")
+    made = touched.select("doc_id", F.xxhash64("text").alias("tkey"), F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"), kept.alias("kept"), "spans")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    whole = rows.where("doc_id is null or text is null").select("doc_id", lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"), F.array().cast(made.schema["spans"].dataType).alias("spans"))
+    whole = rows.where("doc_id is null or text is null").select("doc_id", F.xxhash64("text").alias("tkey"), lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"), F.array().cast(made.schema["spans"].dataType).alias("spans"))
     return made.unionByName(whole)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import id_and_text, map_batches, written
+from .common import id_and_text, map_batches, uncarried, written
 
 #: Identity terms, by how they are used in a sentence.
 IDENTITY_TERMS = {
@@ -204,8 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int, max_features:
     return {f: w for f, w in by_feature.items() if abs(w) > 1e-4}, intercept
 
 
-def score(df: DataFrame, weights: dict[int, float], intercept: float, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) of every whole text."""
+def score(df: DataFrame, weights: dict[int, float], intercept: float, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score, predicted) of every whole text; with ``carried``, also text and those columns."""
     shared = df.sparkSession.sparkContext.broadcast((list(weights), np.array(list(weights.values()), dtype=np.float64)))
     state: dict[str, Known] = {}
 
@@ -224,11 +224,10 @@ def score(df: DataFrame, weights: dict[int, float], intercept: float, threshold:
         p = 1 / (1 + np.exp(-np.clip(out, -60, 60)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return map_batches(id_and_text(df, id_col, text_col), run, "doc_id long, score double, predicted int")
+    return uncarried(map_batches(id_and_text(df, id_col, text_col, carried), run, "doc_id long, score double, predicted int"))
 
 
-def classify(df: DataFrame, labels: DataFrame, rows_per_class: int = 3000, max_features: int = 1500, pairs_per_row: int = 8, l2: float = 1e-3, counterfactual: float = 1.0, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted): learn from the rows that aren't held out, score all."""
-    docs = id_and_text(df, id_col, text_col)
-    weights, intercept = train(docs, labels, rows_per_class, max_features, pairs_per_row, l2, counterfactual)
-    return score(docs, weights, intercept, threshold).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+def classify(df: DataFrame, labels: DataFrame, rows_per_class: int = 3000, max_features: int = 1500, pairs_per_row: int = 8, l2: float = 1e-3, counterfactual: float = 1.0, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score, predicted, ..., held_out): learn from the rows that aren't held out, score all."""
+    weights, intercept = train(id_and_text(df, id_col, text_col), labels, rows_per_class, max_features, pairs_per_row, l2, counterfactual)
+    return score(df, weights, intercept, threshold, id_col, text_col, carried).withColumn("held_out", held_out(F.col("doc_id")))
