@@ -1,7 +1,7 @@
 r"""Toxicity: a logistic classifier with a counterfactual penalty.
 
-A document is the set of its lower-cased words ``\w+`` and their prefixes of 3 to 8 characters. The loss is class-balanced
-logistic loss, plus an L2 term, plus the counterfactual term: identity terms in labelled sentences are swapped for other
+A document is the set of its lower-cased words ``\w+`` and their prefixes of 3 to 8 characters. The loss is logistic loss
+(a row of a class of n rows weighs n ** -0.75), plus an L2 term, plus the counterfactual term: identity terms in labelled sentences are swapped for other
 identity terms and for neutral nouns, and the squared change of the score is penalised. So a mention of a group moves no
 score, whatever the groups that happen to stand in toxic rows. As a corpus may hold few such sentences, one neutral
 carrier sentence per term joins them.
@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 from .common import id_and_text, map_batches, uncarried, written
 
@@ -49,31 +49,28 @@ TERM_LANG = {t: lang for lang, terms in reversed(IDENTITY_TERMS.items()) for t i
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
-#: Words whose features a worker keeps.
-MEMO = 200_000
 
 
-def features_of(word: str) -> tuple[int, ...]:
-    """Hashes of the word and of its prefixes."""
-    return (xxh3_64_intdigest("=" + word) >> 1, *(xxh3_64_intdigest("^" + word[:n]) >> 1 for n in PREFIXES if len(word) >= n))
+def features_of(word: str) -> tuple[str, ...]:
+    """The word and its prefixes."""
+    return ("=" + word, *("^" + word[:n] for n in PREFIXES if len(word) >= n))
 
 
 def words_of(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
-class Known(dict):
-    """word -> its features, as far as ``kept`` names them, under the numbers it gives."""
+class Known:
+    """The features that ``kept`` names, under the numbers it gives."""
 
-    def __init__(self, kept: dict[int, int]):
+    def __init__(self, kept: dict[str, int]):
         self.kept = kept
+        self.starts = {f[1:4] for f in kept}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > MEMO:
-            self.clear()
-        kept = self.kept
-        found = self[word] = tuple(kept[f] for f in features_of(word) if f in kept)
-        return found
+    def __call__(self, words: set[str]) -> list[int]:
+        """Numbers of the features of a set of words, in order."""
+        starts, kept = self.starts, self.kept
+        return sorted({kept[f] for w in words if w[:3] in starts for f in features_of(w) if f in kept})
 
 
 def swaps(text: str | None, seed: int, most: int) -> list[tuple[set[str], set[str]]]:
@@ -112,19 +109,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows_per_class: int) -> Da
     return docs.join(sample, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
 
 
-def choose_features(sample: DataFrame, n_toxic: int, n_clean: int, most: int) -> list[int]:
+def choose_features(sample: DataFrame, n_toxic: int, n_clean: int, most: int) -> list[str]:
     """The features whose share of toxic rows differs most from their share of clean rows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         by_class = []
         for kind in (0, 1):
-            sets = [np.fromiter({f for w in words_of(t) for f in features_of(w)}, dtype=np.int64) for t, k in zip(texts, toxic) if k == kind]
-            by_class.append(np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *sets]), return_counts=True))
-        (f0, n0), (f1, n1) = by_class
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f0, f1])), pa.array(np.concatenate([n0, np.zeros_like(n1)])), pa.array(np.concatenate([np.zeros_like(n0), n1]))], names=["feature", "clean", "toxic"])
+            by_class.append(Counter(f for t, k in zip(texts, toxic) if k == kind for f in {f for w in words_of(t) for f in features_of(w)}))
+        names = list(by_class[0].keys() | by_class[1].keys())
+        columns = [pa.array([c[f] for f in names], pa.int64()) for c in by_class]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *columns], names=["feature", "clean", "toxic"])
 
-    counts = map_batches(sample.select("text", "toxic"), run, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = map_batches(sample.select("text", "toxic"), run, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     p1, p0 = (F.col("toxic") + 0.5) / (n_toxic + 1), (F.col("clean") + 0.5) / (n_clean + 1)
     p = (F.col("toxic") + F.col("clean") + 0.5) / (n_toxic + n_clean + 1)
     z = F.abs(p1 - p0) / F.sqrt(p * (1 - p) * F.lit(1 / (n_toxic + 1) + 1 / (n_clean + 1)))
@@ -132,11 +129,18 @@ def choose_features(sample: DataFrame, n_toxic: int, n_clean: int, most: int) ->
     return [r["feature"] for r in rows]
 
 
-def fit(rows: np.ndarray, toxic: np.ndarray, change: np.ndarray, l2: float, counterfactual: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit(rows: np.ndarray, toxic: np.ndarray, change: np.ndarray, l2: float, counterfactual: float, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept. rows: 0/1 by row and feature; change: feature change of each swap."""
+    used = rows.any(axis=0)  # no other weight leaves zero
+    if not used.all():
+        some, b = fit(rows[:, used], toxic, change[:, used], l2, counterfactual, steps)
+        w = np.zeros(rows.shape[1], dtype=np.float32)
+        w[used] = some
+        return w, b
     rows, change = rows.astype(np.float32), change.astype(np.float32)
     n, k = rows.shape
-    weight = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum())).astype(np.float32)
+    weight = np.where(toxic == 1, max(1, (toxic == 1).sum()) ** -0.75, max(1, (toxic == 0).sum()) ** -0.75).astype(np.float32)
+    weight /= weight.sum()
     w, b = np.zeros(k, dtype=np.float32), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -154,7 +158,7 @@ def fit(rows: np.ndarray, toxic: np.ndarray, change: np.ndarray, l2: float, coun
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int, max_features: int, pairs_per_row: int, l2: float, counterfactual: float) -> tuple[dict[int, float], float]:
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int, max_features: int, pairs_per_row: int, l2: float, counterfactual: float) -> tuple[dict[str, float], float]:
     """Weight by feature, and the intercept."""
     sample = written(training_rows(docs, labels, rows_per_class).repartition(8), "toxicity-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -172,10 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int, max_features:
         known = Known(shared.value)
         bits, change_rows = [], []
 
-        def line(words) -> np.ndarray:
+        def line(words: set[str]) -> np.ndarray:
             out = np.zeros(size, dtype=bool)
-            for w in words:
-                out[list(known[w])] = True
+            out[known(words)] = True
             return out
 
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -192,19 +195,16 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int, max_features:
     change = [unpack(s[:width]).astype(np.int8) - unpack(s[width:]).astype(np.int8) for one in got["swapped"].to_pylist() for s in one]
     for a, b in pairs:
         d = np.zeros(size, dtype=np.int8)
-        for w in a:
-            d[list(known[w])] = 1
-        e = np.zeros(size, dtype=np.int8)
-        for w in b:
-            e[list(known[w])] = 1
-        change.append(d - e)
+        d[known(a)] = 1
+        d[known(b)] -= 1
+        change.append(d)
     order = np.lexsort((toxic, *(rows.T[:8] if size >= 8 else rows.T)))  # the sum's order is not the executors'
     weights, intercept = fit(rows[order], toxic[order], np.array(change, dtype=np.int8).reshape(-1, size), l2, counterfactual)
     by_feature = dict(zip(kept, weights.tolist()))
     return {f: w for f, w in by_feature.items() if abs(w) > 1e-4}, intercept
 
 
-def score(df: DataFrame, weights: dict[int, float], intercept: float, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+def score(df: DataFrame, weights: dict[str, float], intercept: float, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score, predicted) of every whole text; with ``carried``, also text and those columns."""
     shared = df.sparkSession.sparkContext.broadcast((list(weights), np.array(list(weights.values()), dtype=np.float64)))
     state: dict[str, Known] = {}
@@ -216,18 +216,14 @@ def score(df: DataFrame, weights: dict[int, float], intercept: float, threshold:
         known = state["known"]
         out = np.zeros(batch.num_rows)
         for i, text in enumerate(batch.column(1).to_pylist()):
-            found: set[int] = set()
-            for word in words_of(text):
-                if got := known[word]:
-                    found.update(got)
-            out[i] = intercept + values[sorted(found)].sum() if found else intercept
+            out[i] = intercept + values[known(words_of(text))].sum()
         p = 1 / (1 + np.exp(-np.clip(out, -60, 60)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return uncarried(map_batches(id_and_text(df, id_col, text_col, carried), run, "doc_id long, score double, predicted int"))
 
 
-def classify(df: DataFrame, labels: DataFrame, rows_per_class: int = 3000, max_features: int = 1500, pairs_per_row: int = 8, l2: float = 1e-3, counterfactual: float = 1.0, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, rows_per_class: int = 3000, max_features: int = 1500, pairs_per_row: int = 8, l2: float = 5e-4, counterfactual: float = 1.0, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score, predicted, ..., held_out): learn from the rows that aren't held out, score all."""
     weights, intercept = train(id_and_text(df, id_col, text_col), labels, rows_per_class, max_features, pairs_per_row, l2, counterfactual)
     return score(df, weights, intercept, threshold, id_col, text_col, carried).withColumn("held_out", held_out(F.col("doc_id")))
