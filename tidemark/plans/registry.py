@@ -1,4 +1,4 @@
-"""All queries of the library outside ``llm``, with their DuckDB twins."""
+"""All queries of the library outside ``llm``, with their DuckDB twins where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,3 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(oracle: str | None = None):
+    """Decorator: the function's name becomes the query's."""
+
+    def take(fn):
+        if fn.__name__ in QUERIES:
+            raise ValueError(f"{fn.__name__} is registered twice")
+        QUERIES[fn.__name__] = fn
+        if oracle:
+            ORACLES[fn.__name__] = oracle
+        return fn
+
+    return take
