@@ -9,10 +9,9 @@ sets reaches ``threshold`` (a fraction of whole numbers, so that the bound is ex
 3. In each bucket, every node meets the smallest (the pivot): a row a node, not a pair of each two. The collision-corrected
    estimate of the registers drops pairs more than 5.5 standard deviations below the bound; the others are compared on
    their full sets.
-4. A bucket whose nodes now lie in one component is done. In the others, nodes of different components are compared by
-   their registers, in blocks; what the estimate lets pass is compared on full sets. Buckets of more than ``big`` nodes,
-   such as a passage that a third of all documents hold makes, are first dealt anew by pairs of their large bands (a pair
-   at 0.8 shares one band only with probability 1e-6); those still large are compared block by block. Nothing is capped.
+4. A bucket whose nodes now lie in one component is done. The nodes of the others, which a common passage may bring
+   together in any number, go through an exact prefix join over their shingles, rare ones first: two documents meet only
+   if they share one of their rarest. Pairs of different components that it leaves are compared on full sets.
 5. Connected components of the links; the smallest id of each is kept.
 
 Null texts and texts without words have an empty set and are linked with nothing. A row with a null id has no component
@@ -23,7 +22,6 @@ behind.
 from __future__ import annotations
 
 from collections import OrderedDict
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +33,8 @@ from . import hyperminhash as hmh
 from .common import id_and_text, map_batches, written
 from .components import connected_components
 
-#: Nodes of a block in which registers are compared.
-BLOCK = 512
+#: Documents whose shingles say which ones are common, and how many common ones are told apart.
+SAMPLE, COMMON = 8192, 200_000
 #: Standard deviations that the estimate may lie below the bound.
 MARGIN = 5.5
 
@@ -93,47 +91,63 @@ def _likely(bound: float):
     return run
 
 
-def _across(bound: float):
-    """Pairs of different components that the registers let pass; rows come sorted by (key, i, j)."""
-
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        i, j = rows[0][1], rows[0][2]
-        rows = sorted(set(rows), key=lambda r: r[6])  # by set size
-        node, comp = (np.array([r[k] for r in rows]) for k in (4, 5))
-        size = np.array([r[6] for r in rows], dtype=np.float64)
-        block = np.array([r[3] for r in rows])
-        registers = np.frombuffer(b"".join(r[7] for r in rows), dtype=np.uint16).reshape(-1, hmh.BUCKETS)
-        out = []
-        for x in range(len(rows) - 1):
-            last = int(np.searchsorted(size, size[x] / bound + 1e-9, side="right"))  # only sets of a size that can reach the bound
-            others = np.arange(x + 1, last)
-            others = others[(comp[others] != comp[x]) & (node[others] != node[x]) & ((block[others] != block[x]) if i != j else True)]
-            if not len(others):
-                continue
-            estimate, buckets = hmh.jaccard(np.broadcast_to(registers[x], (len(others), hmh.BUCKETS)), registers[others], np.full(len(others), size[x]), size[others])
-            for y in others[estimate >= _cut(buckets, bound)]:
-                out.append((max(node[x], node[y]), min(node[x], node[y])))
-        return out
+def _common(rest: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of about ``SAMPLE`` documents, at most ``COMMON``, with their counts."""
+    every = max(1, -(-rest.count() // SAMPLE))
 
-    def run(batches):
-        def rows():
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns))
-
-        found: set[tuple[int, int]] = set()
-        for _, group in groupby(rows(), key=lambda r: r[:3]):
-            found.update(compare(list(group)))
-            if len(found) > 20_000:
-                yield _pairs(found)
-                found = set()
-        yield _pairs(found)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.concatenate([shingles(t, shingle) for t in batch.column(0).to_pylist()])
+        kinds, n = np.unique(found, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    return run
+    drawn = rest.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(every)) == 0).select("text")
+    counts = map_batches(drawn, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([r["n"] for r in rows], dtype=np.int64)[order]
 
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    rows = sorted(found)
-    return pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in rows], pa.int64()), pa.array([int(b) for _, b in rows], pa.int64())], names=["a", "b"])
+def _prefix_pairs(rest: DataFrame, shingle: int, over: int, under: int) -> DataFrame:
+    """(a, b), a > b: pairs of different components that may reach the bound, by an exact prefix join.
+
+    All sets are put in one order, rare shingles first. Two sets of at least the bound share one among the first
+    n - ceil(2t / (1 + t) n) + 1 of the smaller and the first n - ceil(t n) + 1 of the larger. Any order is exact; the
+    order decides only how many candidates there are, so frequencies may come from a bounded sample.
+    """
+    shared = rest.sparkSession.sparkContext.broadcast(_common(rest, shingle))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        common, counts = shared.value
+        parts = []
+        for node, comp, text in zip(*(c.to_pylist() for c in batch.columns)):
+            s = shingles(text, shingle)
+            n = len(s)
+            often = np.zeros(n, dtype=np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                often = np.where(common[at] == s, counts[at], 0)
+            k = n - -(-over * n // under) + 1
+            first = s[np.lexsort((s, often))[:k]]
+            listed = np.arange(k) < n - -(-2 * over * n // (under + over)) + 1
+            parts.append((first, np.full(k, node), np.full(k, comp), np.full(k, n), np.arange(k), listed))
+        h, node, comp, n, place, listed = (np.concatenate(c) for c in zip(*parts))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(comp), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(listed)], names=["h", "node", "comp", "n", "place", "listed"])
+
+    tokens = written(map_batches(rest.select("node", "comp", "text"), _by_text(run), "h long, node long, comp long, n int, place int, listed boolean"), "tokens")
+    mixed = tokens.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("h")
+    tokens = tokens.join(mixed, "h")
+    small = tokens.where("listed").select("h", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    large = tokens.select("h", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    need = F.ceil((F.col("nx") + F.col("ny")) * over / (under + over) - 1e-9)
+    fits = ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))) & (F.col("nx") * under >= F.col("ny") * over)
+    ahead = 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1 >= need
+    pairs = small.join(large, "h").where((F.col("cx") != F.col("cy")) & fits & ahead)
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _by_text(run):
+    return lambda batch: run(batch) if batch.num_rows else None
 
 
 def _verified(size: int, over: int, under: int):
@@ -161,7 +175,7 @@ def _verified(size: int, over: int, under: int):
     return run
 
 
-def near_duplicates(df: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100), big: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     bound = threshold[0] / threshold[1]
     docs = id_and_text(df, id_col, text_col)
@@ -190,23 +204,12 @@ def near_duplicates(df: DataFrame, shingle: int = 5, threshold: tuple[int, int]
     links = written(linked(tested), "links")
     found = connected_components(links, "a", "b")
 
-    # Buckets that hold more than one component: their other pairs, by registers in blocks.
+    # Buckets that hold more than one component: the exact prefix join looks for links between components.
     open_ = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
-        return rows.join(sizes, "key")
-
-    open_ = written(mixed(open_), "open")
-    large = open_.where(F.col("size") > big)
-    left, right = large.select("node", "comp", F.col("key").alias("k1")), large.select("node", F.col("key").alias("k2"))
-    twice = left.join(right, "node").where("k1 < k2").select(F.xxhash64("k1", "k2").alias("key"), "node", "comp").distinct()
-    rows = open_.where(F.col("size") <= big).unionByName(mixed(twice))
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    rows = rows.join(signs, "node").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n_shingles", "registers")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = rows.mapInArrow(_across(bound), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+    mixed = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    rest = open_.join(mixed, "key").select("node", "comp").distinct()
+    rest = written(rest.join(texts.toDF("node", "text"), "node"), "rest")
+    more = _prefix_pairs(rest, shingle, *threshold).join(tested, ["a", "b"], "left_anti")
     more_links = linked(written(more, "pairs"))
     final = connected_components(links.unionByName(more_links), "a", "b")
 
