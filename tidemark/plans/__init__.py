@@ -1,3 +1,3 @@
 """Queries over the driver's tables. Importing this package registers them all."""
 
-from . import intervals  # noqa: F401
+from . import audits, intervals  # noqa: F401
