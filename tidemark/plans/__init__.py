@@ -1,3 +1,3 @@
 """Queries over the driver's tables. Importing this package registers them all."""
 
-from . import audits, intervals, retrievals, texts  # noqa: F401
+from . import audits, intervals, retrievals, tables, texts  # noqa: F401

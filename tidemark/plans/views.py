@@ -51,14 +51,14 @@ intervals as (
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as a thread: turn 0 is the root; an odd turn answers the root, an even one the turn before."""
     turns = table(spark, sf_dir, "conversations")
-    node = F.col("conv_id") * 1000 + F.col("turn")
-    parent = F.when(F.col("turn") == 0, F.lit(None)).when(F.col("turn") % 2 == 1, F.col("conv_id") * 1000).otherwise(node - 1)
+    node = F.col("conv_id") * 1000 + F.col("turn") + 1
+    parent = F.when(F.col("turn") == 0, F.lit(None)).when(F.col("turn") % 2 == 1, F.col("conv_id") * 1000 + 1).otherwise(node - 1)
     return turns.select(F.col("conv_id").alias("thread_id"), node.alias("node_id"), parent.cast("long").alias("parent_id"), F.col("role").alias("author"), F.col("text"))
 
 
 TREE = """
 tree as (
-  select conv_id as thread_id, conv_id * 1000 + turn as node_id,
-    case when turn = 0 then null when turn % 2 = 1 then conv_id * 1000 else conv_id * 1000 + turn - 1 end as parent_id, role as author, text
+  select conv_id as thread_id, conv_id * 1000 + turn + 1 as node_id,
+    case when turn = 0 then null when turn % 2 = 1 then conv_id * 1000 + 1 else conv_id * 1000 + turn end as parent_id, role as author, text
   from conversations)
 """
