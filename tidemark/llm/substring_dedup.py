@@ -274,5 +274,6 @@ def remove_repeats(df: DataFrame, width: int = 50, period: int = 31, id_col: str
     )
     final = seen.join(repeated, seen["doc_id"] == repeated["doc"], "left").select("doc_id", "text", tkey, F.col("is_first").isNull().alias("copy"), "repeats")
     nameless = rows.where("doc_id is null").select("doc_id", "text", tkey, F.lit(False).alias("copy"), F.lit(None).cast(final.schema["repeats"].dataType).alias("repeats"))
-    final = final.unionByName(nameless)
+    # In this order: a union keeps the aliases below its first branch, and there they would make another exchange.
+    final = nameless.unionByName(final)
     return map_batches(final, _kept(width), "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
