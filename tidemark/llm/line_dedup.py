@@ -98,4 +98,5 @@ def remove_repeated_lines(df: DataFrame, window: int = 2, divisor: int = 4, id_c
     made = touched.select("doc_id", F.xxhash64("text").alias("tkey"), F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"), kept.alias("kept"), "spans")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     whole = rows.where("doc_id is null or text is null").select("doc_id", F.xxhash64("text").alias("tkey"), lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"), F.array().cast(made.schema["spans"].dataType).alias("spans"))
-    return made.unionByName(whole)
+    # In this order: a union keeps the aliases below its first branch, and there they would make another exchange.
+    return whole.unionByName(made)
