@@ -42,9 +42,9 @@ def thread_page(spark, d):
     return th.page(views.tree(spark, d), 2)
 
 
-@register(f"with {views.TREE} select t.node_id from tree t where t.parent_id is not null and t.node_id % 7 <> 0 and not exists (select 1 from tree p where p.node_id % 7 <> 0 and p.thread_id = t.thread_id and p.node_id = t.parent_id)")
+@register(f"with {views.TREE} select t.node_id from tree t where t.parent_id is not null and length(t.text) > 60 and not exists (select 1 from tree p where length(p.text) > 60 and p.thread_id = t.thread_id and p.node_id = t.parent_id)")
 def thread_orphans(spark, d):
-    return th.orphans(views.tree(spark, d).where("node_id % 7 <> 0")).select("node_id")
+    return th.orphans(views.tree(spark, d).where("length(text) > 60")).select("node_id")
 
 
 @register("select user_id, event_type, arg_max(event_id, row(ts, event_id)) as event_id, max(ts) as ts from events group by user_id, event_type")
@@ -54,12 +54,12 @@ def latest_state(spark, d):
 
 
 @register("""
-with a as (select c_custkey as k, c_acctbal as v, c_mktsegment as s from customer where c_custkey % 3 <> 0),
+with a as (select c_custkey as k, c_acctbal as v, c_mktsegment as s from customer where c_acctbal >= 0),
 b as (select o_custkey as k, max(o_totalprice) as v from orders where o_orderstatus = 'F' group by 1)
 select coalesce(a.k, b.k) as k, coalesce(b.v, a.v) as v, s from a full join b on a.k = b.k
 """)
 def upsert(spark, d):
-    a = views.table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").alias("s"))
+    a = views.table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").alias("s"))
     b = views.table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
     return st.upsert(a, b, ["k"])
 

@@ -131,13 +131,11 @@ def numbered_reply_lines(spark, d):
     return reply.select("conv_id", F.explode(tx.numbered_lines(F.col("reply"), F.col("n"))).alias("line", "text"))
 
 
-@register("select doc_id, levenshtein(a, b) as distance, case when levenshtein(a, b) > 5 then 6 else levenshtein(a, b) end as bounded from (select doc_id, regexp_replace(substr(coalesce(text, ''), 1, 40), '[^ -~]', '', 'g') as a, regexp_replace(substr(coalesce(text, ''), 3, 40), '[^ -~]', '', 'g') as b from documents)")
+@register("select p_partkey, levenshtein(p_name, p_type) as distance, least(6, levenshtein(p_name, p_type)) as bounded from part")
 def edit_distances(spark, d):
-    ascii_ = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    t = F.coalesce("text", F.lit(""))
-    rows = views.table(spark, d, "documents").select("doc_id", ascii_(F.substring(t, 1, 40)).alias("a"), ascii_(F.substring(t, 3, 40)).alias("b"))
-    bounded = F.levenshtein("a", "b", 5)
-    return rows.select("doc_id", F.levenshtein("a", "b").cast("long").alias("distance"), F.when(bounded < 0, 6).otherwise(bounded).cast("long").alias("bounded"))
+    bounded = F.levenshtein("p_name", "p_type", 5)
+    rows = views.table(spark, d, "part")
+    return rows.select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("distance"), F.when(bounded < 0, 6).otherwise(bounded).cast("long").alias("bounded"))
 
 
 #: Rules that name terms: keyword in the title, terms to give.
