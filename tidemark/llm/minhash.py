@@ -215,5 +215,5 @@ def near_duplicates(df: DataFrame, shingle: int = 5, threshold: tuple[int, int]
 
     named = firsts.withColumnRenamed("doc_id", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     every = sets.join(named, "digest", "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return every.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

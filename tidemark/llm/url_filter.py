@@ -5,8 +5,8 @@ names of host and path into words of a lexicon and unknown pieces, and naive Bay
 counted from all urls of the table:
 
 * the unigram counts are how often each lexicon word stands alone between separators;
-* a url that holds a seed word of the block list between separators is a block example, one that holds none an allow
-  example; the words of the segmented examples, hashed to ``BUCKETS`` features, make the class counts. Each seed word
+* a url that holds a seed word of the block list between separators is a block example, one without any even after
+  segmentation an allow example; the words of the segmented examples, hashed to ``BUCKETS`` features, make the class counts. Each seed word
   counts once more in its class, so that a table without it still has an opinion.
 
 So what reaches the driver is bounded by the lexicon and by two rows of ``BUCKETS``.
@@ -155,9 +155,12 @@ def class_counts(urls: DataFrame, counts: dict[str, int]) -> tuple[np.ndarray, n
         total: Counter = Counter()
         for batch in batches:
             for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = segment.tokens(host, path)
                 k = int(is_block_example(host, path))
+                if not k and not _BLOCK.isdisjoint(found):
+                    continue  # a block word inside a longer name: an example of neither
                 total[k, -1] += 1
-                for word in segment.tokens(host, path):
+                for word in found:
                     total[k, bucket(word)] += 1
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([b for _, b in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64())], names=["kind", "bucket", "n"])
