@@ -12,10 +12,7 @@ STAMP = r"\d{2}:\d{2}:\d{2},\d{3}"
 
 def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, modified, bytes, content) of whole text files, folders below included."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    rows = reader.text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("content"))
 
 
