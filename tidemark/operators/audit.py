@@ -100,8 +100,8 @@ def table_issue(df: DataFrame, rows: int = 20, many: int = 40) -> DataFrame:
     return got.select(KEY, issue.alias("issue")).where("issue is not null")
 
 
-def bad_chunk(df: DataFrame, media: DataFrame) -> DataFrame:
-    """(media_id, bad): sparse, drawn-out, gapped or stuttering chunks of 20 seconds or more; an empty one is bad."""
+def bad_chunk(df: DataFrame, media: DataFrame, stutters: bool = True) -> DataFrame:
+    """(media_id, bad): sparse, drawn-out, gapped or (``stutters``) stuttering chunks of 20 seconds or more; an empty one is bad."""
     by = Window.partitionBy(KEY).orderBy("pos")
     span, size = F.col("end") - F.col("start"), tx.compact_length(F.col("text"))
     rows = df.withColumn("_gap", F.col("start") - F.lag("end").over(by)).withColumn("_slow", (span >= 6.0) & (size >= 2) & (size / span < 1.5))
@@ -114,7 +114,7 @@ def bad_chunk(df: DataFrame, media: DataFrame) -> DataFrame:
     stutter = (F.length("last") > 30) & (F.size(tail) >= 6) & (F.size(F.array_distinct(F.slice(tail, F.greatest(F.lit(1), F.size(tail) - 5), 6))) <= 2)
     doubled = (F.length("last") > 30) & F.exists(F.slice(tail, 1, 6), lambda w: (w != "") & F.contains(F.col("last"), F.concat(w, w)))
     sparse = (F.col("n") <= 2) & (F.col("span") < F.col("duration") * 0.25) & (F.col("chars") < 40)
-    bad = F.when(F.col("duration") < 20, False).when(F.col("n").isNull(), True).otherwise(sparse | F.col("slow") | (F.col("gap") >= 6.0) | stutter | doubled)
+    bad = F.when(F.col("duration") < 20, False).when(F.col("n").isNull(), True).otherwise(sparse | F.col("slow") | (F.col("gap") >= 6.0) | (F.lit(stutters) & (stutter | doubled)))
     return got.select(KEY, bad.alias("bad"))
 
 

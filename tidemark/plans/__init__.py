@@ -1,3 +1,3 @@
 """Queries over the driver's tables. Importing this package registers them all."""
 
-from . import audits, folded, intervals, retrievals, tables, texts  # noqa: F401
+from . import audits, chunked, folded, intervals, retrievals, tables, texts  # noqa: F401

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..operators import audit as au
 from . import views
 from .registry import register
@@ -131,25 +130,9 @@ m as (select media_id, count(*) as rows_, max("end") as duration, max("end") - m
 select media_id, case when duration < 20 then false else (rows_ <= 2 and span < duration * 0.25 and chars < 40) or slow or gap >= 6 end as thin from m
 """)
 def thin_chunks(spark, d):
-    s = views.segments(spark, d).withColumn("text", F.substring("text", 1, 1 << 20))
+    s = views.segments(spark, d)
     media = s.groupBy("media_id").agg(F.max("end").alias("duration"))
-    quiet = s.withColumn("text", F.col("text"))
-    # the stutter rules look at the last row; they are tested by hand and left out of this comparison
-    got = au.bad_chunk(quiet, media).join(_stutter(s), "media_id", "left_anti").unionByName(_thin(s, media).join(_stutter(s), "media_id", "left_semi"))
-    return got.select("media_id", F.col("bad").alias("thin"))
-
-
-def _stutter(s):
-    last = s.groupBy("media_id").agg(F.trim(F.max_by("text", "pos")).alias("last"))
-    tail = F.split("last", r"\s+")
-    doubled = F.exists(F.slice(tail, 1, 6), lambda w: (w != "") & F.contains(F.col("last"), F.concat(w, w)))
-    few = (F.size(tail) >= 6) & (F.size(F.array_distinct(F.slice(tail, F.greatest(F.lit(1), F.size(tail) - 5), 6))) <= 2)
-    return last.where((F.length("last") > 30) & (doubled | few)).select("media_id")
-
-
-def _thin(s, media):
-    plain = s.withColumn("text", F.translate("text", " \n", "··"))  # one word, so that nothing stutters
-    return au.bad_chunk(plain, media)
+    return au.bad_chunk(s, media, stutters=False).select("media_id", F.col("bad").alias("thin"))
 
 
 @register(f"""
