@@ -172,10 +172,15 @@ def _candidates(width: int, period: int):
         least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
         later = d > least  # a smaller document of this slice has it
         ask = order[~later]
+        # a window that comes again at the next word (one word over and over) makes one row
+        fresh = np.ones(len(ask), dtype=bool)
+        fresh[1:] = (key[ask[1:]] != key[ask[:-1]]) | (more[ask[1:]] != more[ask[:-1]]) | (row[ask[1:]] != row[ask[:-1]]) | (at[ask[1:]] != at[ask[:-1]] + 1)
+        run_first = np.flatnonzero(fresh)
+        run_last = np.append(run_first[1:], len(ask)) - 1
+        begin, end = words.pos[at[ask[run_first]]], words.pos[at[ask[run_last]]] + 1
+        ask = ask[run_first]
         keys, mores = key[ask].view(np.int64), more[ask].view(np.int32)
         docs, tks = doc[ask], tkeys[row[ask]]
-        begin = words.pos[at[ask]]
-        end = begin + 1
         known = np.sort(order[later])
         if len(known):
             place = at[known]
