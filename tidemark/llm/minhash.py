@@ -34,7 +34,7 @@ from .common import id_and_text, map_batches, written
 from .components import connected_components
 
 #: Documents whose shingles say which ones are common, and how many common ones are told apart.
-SAMPLE, COMMON = 8192, 200_000
+SAMPLE, COMMON = 32_768, 500_000
 #: Standard deviations that the estimate may lie below the bound.
 MARGIN = 5.5
 
@@ -102,10 +102,10 @@ def _common(rest: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
     drawn = rest.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(every)) == 0).select("text")
     counts = map_batches(drawn, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64)
+    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h = rows["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], np.array([r["n"] for r in rows], dtype=np.int64)[order]
+    return h[order], rows["n"].to_numpy()[order]
 
 
 def _prefix_pairs(rest: DataFrame, shingle: int, over: int, under: int) -> DataFrame:
@@ -210,8 +210,10 @@ def near_duplicates(df: DataFrame, shingle: int = 5, threshold: tuple[int, int]
     rest = open_.join(mixed, "key").select("node", "comp").distinct()
     rest = written(rest.join(texts.toDF("node", "text"), "node"), "rest")
     more = _prefix_pairs(rest, shingle, *threshold).join(tested, ["a", "b"], "left_anti")
-    more_links = linked(written(more, "pairs"))
-    final = connected_components(links.unionByName(more_links), "a", "b")
+    more_links = written(linked(written(more, "pairs")), "links")
+    final = found
+    if not more_links.isEmpty():
+        final = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more_links), "a", "b")
 
     named = firsts.withColumnRenamed("doc_id", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     every = sets.join(named, "digest", "left")
