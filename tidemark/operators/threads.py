@@ -14,20 +14,36 @@ def is_root():
     return parent.isin("", "0") | (parent == F.col("node_id").cast("string"))
 
 
-def depths(df: DataFrame, most: int = 64) -> DataFrame:
-    """(thread_id, node_id, root_id, depth) of the nodes that a root reaches, level by level within a thread.
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once: a round ends its lineage here, in the cluster's checkpoint folder where there is one."""
+    spark = df.sparkSession
+    kept = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return df.checkpoint() if kept else df.localCheckpoint()
+
 
-    Nodes that none reaches are left out; ``orphans`` names them. A cycle ends at ``most`` levels.
+def depths(df: DataFrame) -> DataFrame:
+    """(thread_id, node_id, root_id, depth) of the nodes that a root reaches, at any depth.
+
+    Pointers double: in each round a node learns what the node it points to knows, so a chain of n replies takes about
+    log2(n) rounds. A round that finishes no node is the last one: as long as a root reaches open nodes, some finish.
+    Nodes that none reaches are left out, cycles too; ``orphans`` names those without a parent. Node ids are unique within
+    a thread.
     """
-    spark = df.sparkSession
-    name = "tidemark_tree"
-    df.select("thread_id", "node_id", "parent_id", is_root().alias("is_root")).createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE reached(thread_id, node_id, root_id, depth) MAX RECURSION LEVEL {most} AS (
-          SELECT thread_id, node_id, node_id, 0 FROM {name} WHERE is_root
-          UNION ALL
-          SELECT t.thread_id, t.node_id, r.root_id, r.depth + 1 FROM {name} t JOIN reached r ON t.thread_id = r.thread_id AND t.parent_id = r.node_id AND NOT t.is_root)
-        SELECT * FROM reached""")
+    rows = df.select("thread_id", "node_id", F.col("parent_id").alias("up"), is_root().alias("is_root"))
+    none = F.lit(None)
+    up_type, node_type = rows.schema["up"].dataType, rows.schema["node_id"].dataType
+    done = _cut(rows.where("is_root").select("thread_id", "node_id", F.col("node_id").alias("root_id"), F.lit(0).alias("depth")))
+    left = _cut(rows.where("not is_root").select("thread_id", "node_id", "up", F.lit(1).alias("depth")))
+    while True:
+        known = done.withColumn("up", none.cast(up_type)).unionByName(left.withColumn("root_id", none.cast(node_type)))
+        known = known.select(F.col("thread_id").alias("_t"), F.col("node_id").alias("_n"), F.col("up").alias("_up"), "root_id", F.col("depth").alias("_depth"))
+        joined = left.join(known, (F.col("thread_id") == F.col("_t")) & (F.col("up") == F.col("_n")))
+        step = _cut(joined.select("thread_id", "node_id", F.col("_up").alias("up"), "root_id", (F.col("depth") + F.col("_depth")).alias("depth")))
+        found = step.where("root_id is not null").drop("up")
+        if found.isEmpty():
+            return done
+        done = done.unionByName(found)
+        left = step.where("root_id is null").drop("root_id")
 
 
 def orphans(df: DataFrame) -> DataFrame:
