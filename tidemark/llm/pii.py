@@ -10,7 +10,8 @@ Base kinds, leftmost and not overlapping within a kind; candidates that fail are
 * card: 13 to 19 digits, single blanks or hyphens between, passing Luhn
 * phone ``\+[0-9][\x20().0-9-]+[0-9]`` with 9 to 15 digits
 
-The cues add kinds of their own: ``iban`` (mod 97), ``ssn``, ``account`` (a cue word, then 6 to 17 digits), ``secret``
+The cues add kinds of their own: ``iban`` (cut to the length of its country, or for other countries at the end of a
+group, long to short; then mod 97), ``ssn``, ``account`` (a cue word, then 6 to 17 digits), ``secret``
 (password, token, secret or key with a value of 8 characters or more) and ``login`` (a scheme with user@host).
 
 Offsets are code points, the end is exclusive. Nulls and empty texts have no spans. Rows stay one to one, repeated
@@ -45,6 +46,14 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET = re.compile(r"\"?\s{0,2}[=:]\s{0,2}[\"']?([^\s\"']{8,})")
 ACCOUNT = re.compile(r"(?:\s?(?:number|no\.?|nr\.?|#))?\s?[:=#]?\s?([0-9]{6,17})(?![0-9])")
 IBAN = re.compile(r"\s?[:=#]?\s?([A-Z]{2}[0-9]{2}(?:\s?[A-Z0-9]){11,30})")
+#: Characters of an IBAN by country, from the IBAN registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_LENGTH = {code: n for n, codes in IBAN_LENGTHS.items() for code in codes.split()}
 SSN = re.compile(r"\s?(?:number|no\.?)?\s?[:=#]?\s?([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 LOGIN = re.compile(r"[^\s/@\"'<>]++@[A-Za-z0-9.-]+[^\s\"'<>]*")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -66,6 +75,17 @@ def mod97(text: str) -> bool:
     return 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int:
+    """Where the IBAN of a candidate ends, -1 if it holds none."""
+    places = [i + 1 for i in range(start, end) if not text[i].isspace()]
+    n = IBAN_LENGTH.get(text[start : start + 2])
+    if n:
+        ends = places[n - 1 : n]
+    else:
+        ends = [e for e in reversed(places) if e == end or text[e].isspace()]
+    return next((e for e in ends if mod97(text[start:e])), -1)
+
+
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for d in "0123456789":
@@ -122,9 +142,10 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]
                 done["login"] = m.end()
                 spans.append(("login", start, m.end()))
         elif at >= done[cue] and (m := CUED[cue].match(text, last + 1)):
-            if cue != "iban" or mod97(m[1]):
-                done[cue] = m.end()
-                spans.append((cue, m.start(1), m.end(1)))
+            end = iban_end(text, m.start(1), m.end(1)) if cue == "iban" else m.end(1)
+            if end >= 0:
+                done[cue] = end if cue == "iban" else m.end()
+                spans.append((cue, m.start(1), end))
     order = {k: i for i, k in enumerate((*BASE, *ADDED))}
     spans.sort(key=lambda s: (order[s[0]], s[1]))
     return spans
