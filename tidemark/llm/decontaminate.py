@@ -6,7 +6,9 @@ it has read; most blocks of a text stand in no pattern and let it jump a whole w
 bucket of the suffix block names the patterns to compare, word by word. Single-word patterns have the word as block.
 
 Nulls and texts without words have no words, no hits and are clean; items without words are no patterns. Rows stay one
-to one, repeated rows too, and equal windows count for every item that holds them. Other columns are left behind.
+to one, repeated rows too, and equal windows count for every item that holds them. Items with a null id are searched
+too: together they are one item, a null at the end of ``items``, which counts there and adds nothing to joined names.
+Other columns are left behind.
 """
 
 from __future__ import annotations
@@ -106,7 +108,7 @@ def _search(docs: DataFrame, items: list[tuple[str, str | None]], width: int) ->
             found, names = state["search"](words)
             counts.append(len(words))
             hits.append([{"start": a, "end": b} for a, b in covered(found)])
-            items.append(sorted(names))
+            items.append(sorted(names, key=lambda name: (name is None, name or "")))
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, kind), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "hits", "items"])
 
@@ -135,7 +137,7 @@ def find_benchmark_words(df: DataFrame, benchmark: DataFrame, width: int = 13, p
     ``pass_bytes`` of benchmark are broadcast; further blocks are searched in passes of their own and joined by row.
     """
     docs = id_and_text(df, id_col, text_col, carried)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     blocks = list(_blocks(items, pass_bytes)) or [[]]
     if len(blocks) == 1:
         found = _search(docs, blocks[0], width)
