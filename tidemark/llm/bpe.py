@@ -1,15 +1,17 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pre-tokens of a slice of the corpus are merged together (see ``merges``): an inverted index from token pair
-to positions, merges in rank order, only touched neighbours looked up again. What a pre-token became is kept for the
-later slices of the same worker, within ``MEMO`` entries. Nothing is shuffled.
+The distinct pre-tokens of the whole corpus are merged together (see ``pretokens`` and ``merges``): an inverted index
+from token pairs to places, merges in rank order, only touched neighbours looked up again. Each pre-token is merged once;
+its ids go back to the slices of documents that hold it. The texts travel once.
 
-Nulls and empty texts give no ids. Rows stay one to one, repeated rows too; other columns are left behind.
+Nulls and empty texts give no ids. Rows stay one to one, repeated rows and null ids too; very long texts and words have no
+bound; empty tables give empty results. Other columns are left behind.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, list_array, map_batches, spread, uncarried
-from .merges import PairTable, replay
-
-#: Distinct pre-tokens whose ids a worker keeps.
-MEMO = 200_000
+from .common import id_and_text, list_array, spread, uncarried
+from .merges import PairTable, kept, replay
+from .pretokens import joined, valued, with_slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,68 +32,44 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, file)))}
 
 
-class Encoder:
-    """Ids of texts; the state of one worker."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
-        self.table, self.memo = PairTable.from_ranks(ranks), memo
-        self.split = regex.compile(pattern).findall
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.int32)
-        self.start = np.zeros(1 << 14, dtype=np.int64)
-        self.size = np.zeros(1 << 14, dtype=np.int32)
-        self.used = 0
-
-    def learn(self, new: list[str]) -> None:
-        ids, sizes = replay([w.encode("utf-8", "surrogatepass") for w in new], self.table)
-        base, n, total = len(self.known), len(new), len(ids)
-        while base + n > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = ids
-        self.size[base : base + n] = sizes
-        self.start[base : base + n] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
-        self.known.update(zip(new, range(base, base + n)))
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and how many each text has."""
-        words: list[str] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                found = self.split(text)
-                counts[i] = len(found)
-                words += found
-        if len(self.known) > self.memo:
-            self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        sizes = self.size[at]
-        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        edge = np.concatenate([[0], np.cumsum(counts)])
-        return self.flat[spread(self.start[at], sizes)], np.diff(ends[edge])
+def _ids(rows: pa.RecordBatch, number: dict[str, int], values: pa.Array, split) -> pa.ListArray:
+    """The ids of each text, from the ids of each pre-token."""
+    words: list[str] = []
+    counts = np.zeros(rows.num_rows, dtype=np.int64)
+    for i, text in enumerate(rows.column(1).to_pylist()):
+        if text:
+            found = split(text)
+            counts[i] = len(found)
+            words += found
+    at = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+    offsets = values.offsets.to_numpy().astype(np.int64) if len(values) else np.zeros(1, dtype=np.int64)
+    flat = values.values.to_numpy(zero_copy_only=False) if len(values) else np.zeros(0, dtype=np.int32)
+    sizes = np.diff(offsets)[at]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return list_array(flat[spread(offsets[at], sizes)], np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]))
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, ids array<int>): the ids of every whole text; with ``carried``, also text and those columns."""
-    shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
-    state: dict[str, Encoder] = {}
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    name = hashlib.md5(repr(sorted(ranks.items())).encode()).hexdigest()
+    rows = id_and_text(df, id_col, text_col, carried)
+    dealt = with_slices(rows)
+    along = [c for c in ("text", "carried") if carried]
+
+    def split():
+        return kept(pattern, lambda: regex.compile(pattern)).findall
+
+    def merged(words: list[str]) -> pa.Array:
+        table = kept(name, lambda: PairTable.from_ranks(shared.value))
+        return list_array(*replay([w.encode("utf-8", "surrogatepass") for w in words], table))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if "encoder" not in state:
-            state["encoder"] = Encoder(*shared.value)
-        flat, sizes = state["encoder"](batch.column(1).to_pylist())
-        return pa.RecordBatch.from_arrays([batch.column(0), list_array(flat, sizes)], names=["doc_id", "ids"])
+    def made(batch: pa.RecordBatch, number: dict[str, int], values: pa.Array) -> pa.RecordBatch:
+        found = [batch.column(0), _ids(batch, number, values, split()), *(batch.column(batch.schema.get_field_index(c)) for c in along)]
+        return pa.RecordBatch.from_arrays(found, names=["doc_id", "ids", *along])
 
-    return uncarried(map_batches(id_and_text(df, id_col, text_col, carried), run, "doc_id long, ids array<int>"))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *(rows.schema[c] for c in along)])
+    return uncarried(joined(dealt, valued(dealt, split, merged, "array<int>"), made, schema))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids", carried: tuple[str, ...] = ()) -> DataFrame:

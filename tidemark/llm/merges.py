@@ -1,210 +1,149 @@
-"""Corpus-level merge replay: the distinct words of a corpus slice are merged together, in rank order.
+"""Merge replay over many words at once, by an inverted index from token pairs to their places.
 
-All words lie in one flat array of tokens with links to both neighbours. The inverted index holds, for each band of
-ranks, the positions whose token pair merges within the band. The bands run in rank order; in a band, each word in turn
-gives its pair of lowest rank (the leftmost of equals) until the band has no pair left. A merge looks up only the two
-pairs that its neighbours now form and files them under their own band.
+All words lie in one flat list of tokens with links to both neighbours. The index names, for each pair that the words
+hold (filed under its rank, which pairs of one joined token share), the places where it stands. The lowest rank in the
+index is always taken next, its places from left to right; a merge looks up only the two pairs that its neighbours now
+form and files them. As words don't touch each other, each gets its merges in its own order: lowest rank first, leftmost
+of equals, and a merge that opens a pair of lower rank has it taken before anything else.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-#: Longer words are merged alone, from a heap: in the flat array each of their merges would be a round of its own.
-LONG = 256
-NONE = np.int32(2**31 - 1)
+#: Bytes of words that are merged together.
+TOGETHER = 1 << 20
 
 
 class PairTable:
-    """(left id, right id) -> (rank, joined id), as an open-addressing table in arrays."""
-
-    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, joined: np.ndarray, byte_ids: np.ndarray):
-        self.byte_ids = byte_ids.astype(np.int32)
-        self.bits = max(10, int(4 * len(left)).bit_length())
-        size = 1 << self.bits
-        self.keys = np.full(size, -1, dtype=np.int64)
-        self.rank = np.full(size, NONE, dtype=np.int32)
-        self.joined = np.zeros(size, dtype=np.int32)
-        keys = (left.astype(np.int64) << 32) | right.astype(np.int64)
-        slot = self._slot(keys)
-        todo = np.arange(len(keys))
-        while len(todo):
-            s = slot[todo]
-            free = self.keys[s] == -1
-            _, one = np.unique(s[free], return_index=True)
-            put = todo[free][one]
-            self.keys[slot[put]] = keys[put]
-            self.rank[slot[put]] = rank[put]
-            self.joined[slot[put]] = joined[put]
-            placed = np.zeros(len(keys), dtype=bool)
-            placed[put] = True
-            todo = todo[~placed[todo]]
-            slot[todo] = (slot[todo] + 1) & (size - 1)
-        self.top = int(rank.max()) + 1 if len(rank) else 1
-        self._dict: dict[tuple[int, int], tuple[int, int]] | None = None
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (NONE where the pair doesn't merge) and joined id."""
-        keys = (left.astype(np.int64) << 32) | right.astype(np.int64)
-        slot = self._slot(keys)
-        seen = self.keys[slot]
-        miss = np.flatnonzero((seen != keys) & (seen != -1))
-        while len(miss):
-            slot[miss] = (slot[miss] + 1) & (len(self.keys) - 1)
-            seen = self.keys[slot[miss]]
-            miss = miss[(seen != keys[miss]) & (seen != -1)]
-        return self.rank[slot], self.joined[slot]
-
-    @property
-    def pairs(self) -> dict[tuple[int, int], tuple[int, int]]:
-        if self._dict is None:
-            at = np.flatnonzero(self.keys >= 0)
-            keys = self.keys[at]
-            self._dict = dict(zip(zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist()), zip(self.rank[at].tolist(), self.joined[at].tolist())))
-        return self._dict
+    """Rank and joined id of each pair that merges; ``whole`` has the words that are a token as they stand."""
+
+    def __init__(self, pairs: Iterable[tuple[int, int, int, int]], byte_ids: list[int], size: int, whole: dict[bytes, int] | None = None):
+        self.size, self.byte_ids = size, np.array(byte_ids, dtype=np.int64)
+        self.pairs = {a * size + b: (rank, joined) for a, b, rank, joined in pairs}
+        self.whole = whole or {}
 
     @classmethod
     def from_ranks(cls, ranks: dict[bytes, int]) -> PairTable:
-        """Rank files: any two tokens merge whose bytes together are a token, at that token's rank."""
-        rows = [(a, b, r) for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None]
-        left, right, rank = np.array(rows, dtype=np.int64).reshape(-1, 3).T
-        return cls(left, right, rank, rank, np.array([ranks[bytes([b])] for b in range(256)]))
+        """Rank files: any two tokens merge whose bytes together are a token, at that token's rank; a whole word that is
+        a token is taken as it is."""
+        pairs = ((a, b, r, r) for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None)
+        return cls(pairs, [ranks[bytes([b])] for b in range(256)], max(ranks.values()) + 1, ranks)
 
     @classmethod
     def from_definition(cls, definition: str) -> PairTable:
         """Tokenizer files: the listed pairs merge, in the listed order. Bytes stand there as printable characters."""
         model = json.loads(definition)["model"]
         vocab = model["vocab"]
-        rows = []
-        for i, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            rows.append((vocab[a], vocab[b], i, vocab[a + b]))
-        left, right, rank, joined = np.array(rows, dtype=np.int64).reshape(-1, 4).T
+        split = lambda pair: pair.split(" ") if isinstance(pair, str) else pair
+        pairs = ((vocab[a], vocab[b], i, vocab[a + b]) for i, (a, b) in enumerate(map(split, model["merges"])))
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = iter(range(0x100, 0x200))
         char = {b: chr(b) for b in printable} | {b: chr(next(others)) for b in range(256) if b not in set(printable)}
-        return cls(left, right, rank, joined, np.array([vocab[char[b]] for b in range(256)]))
-
-
-def alone(word: bytes, table: PairTable) -> list[int]:
-    """One word: lowest rank first, leftmost on ties."""
-    pairs = table.pairs
-    token: list[int] = table.byte_ids[np.frombuffer(word, dtype=np.uint8)].tolist()
-    after = [*range(1, len(token)), -1]
-    before = list(range(-1, len(token) - 1))
-    heap = [(got[0], i, token[i], token[i + 1]) for i in range(len(token) - 1) if (got := pairs.get((token[i], token[i + 1])))]
-    heapq.heapify(heap)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if j < 0 or token[i] != a or token[j] != b:
-            continue
-        token[i], token[j] = pairs[a, b][1], -1
-        after[i], after[j] = after[j], -1
-        if after[i] >= 0:
-            before[after[i]] = i
-        for left in (before[i], i):
-            if left >= 0 and after[left] >= 0 and (got := pairs.get((token[left], token[after[left]]))):
-                heapq.heappush(heap, (got[0], left, token[left], token[after[left]]))
-    return [t for t in token if t >= 0]
+        return cls(pairs, [vocab[char[b]] for b in range(256)], max(vocab.values()) + 1)
+
+
+#: Tables of this worker. A worker serves many tasks, and building a table takes longer than a task's words.
+_TABLES: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    if name not in _TABLES:
+        if len(_TABLES) >= 8:
+            _TABLES.pop(next(iter(_TABLES)))
+        _TABLES[name] = make()
+    return _TABLES[name]
+
+
+def batches(words: list[bytes]) -> Iterator[list[bytes]]:
+    """The words in lots of about TOGETHER bytes; a longer word stands alone."""
+    lot, size = [], 0
+    for word in words:
+        if lot and size + len(word) > TOGETHER:
+            yield lot
+            lot, size = [], 0
+        lot.append(word)
+        size += len(word)
+    if lot:
+        yield lot
 
 
 def replay(words: list[bytes], table: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all words one after another, and how many each word has."""
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    long = np.flatnonzero(sizes > LONG)
-    if len(long):
-        short = np.flatnonzero(sizes <= LONG)
-        flat, counts = replay([words[i] for i in short], table)
-        cut = np.concatenate([[0], np.cumsum(counts)])
-        parts: list = [None] * len(words)
-        for k, i in enumerate(short):
-            parts[i] = flat[cut[k] : cut[k + 1]]
-        for i in long:
-            parts[i] = np.array(alone(words[i], table), dtype=np.int32)
-        return np.concatenate(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    n = int(sizes.sum())
-    if not n:
-        return np.zeros(0, dtype=np.int32), sizes
-    token = table.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
-    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-    after = np.arange(1, n + 1, dtype=np.int32)
-    before = np.arange(-1, n - 1, dtype=np.int32)
-    ends = np.cumsum(sizes)
+    done = [_replay(lot, table) for lot in batches(words)]
+    if not done:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    flat, counts = zip(*done)
+    return np.concatenate(flat), np.concatenate(counts)
+
+
+def _replay(words: list[bytes], table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    whole = [table.whole.get(w) for w in words] if table.whole else [None] * len(words)
+    sizes = np.fromiter((len(w) if t is None else 1 for w, t in zip(words, whole)), dtype=np.int64, count=len(words))
+    data = table.byte_ids[np.frombuffer(b"".join(w for w, t in zip(words, whole) if t is None), dtype=np.uint8)]
+    word = np.repeat(np.arange(len(words)), sizes)
+    settled = np.array([t is not None for t in whole], dtype=bool)
+    start = np.empty(len(word), dtype=np.int64)
+    start[~settled[word]] = data
+    start[settled[word]] = [t for t in whole if t is not None]
+    n = len(start)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
     full = sizes > 0
+    ends = np.cumsum(sizes)
     after[ends[full] - 1] = -1
     before[(ends - sizes)[full]] = -1
-    rank = np.full(n, NONE, dtype=np.int32)
-    joined = np.zeros(n, dtype=np.int32)
-    first = np.flatnonzero(after >= 0)
-    rank[first], joined[first] = table.look_up(token[first], token[first + 1])
-    # Bands hold about as many of the first pairs each; ranks that only later pairs have spread evenly over the rest.
-    live = first[rank[first] != NONE]
-    order = live[np.argsort(rank[live], kind="stable")]
-    edges = np.unique(np.concatenate([np.linspace(0, table.top, 49).astype(np.int64), rank[order[:: max(1, len(order) // 24)]].astype(np.int64)]))
-    cuts = np.searchsorted(rank[order], edges)
-    index: list[list[np.ndarray]] = [[order[a:b]] for a, b in zip(cuts, cuts[1:])]
-    odd: list[np.ndarray] = []
-    for band in range(len(index)):
-        low, high = edges[band], edges[band + 1]
-        while index[band]:
-            at = np.concatenate(index[band])
-            index[band] = []
-            at = at[(rank[at] >= low) & (rank[at] < high)]
-            if not len(at):
-                break
-            key = np.lexsort((at, rank[at], word[at]))
-            at = at[key]
-            lead = np.ones(len(at), dtype=bool)
-            lead[1:] = word[at[1:]] != word[at[:-1]]
-            rest = at[~lead]
-            if len(rest):
-                index[band].append(rest)
-            at = at[lead]
-            was = rank[at]
-            gone = after[at]
-            token[at] = joined[at]
-            nxt = after[gone]
-            after[at] = nxt
-            rank[gone] = NONE
-            token[gone] = -1
-            has = nxt >= 0
-            before[nxt[has]] = at[has]
-            rank[at] = NONE
-            prv = before[at]
-            back = prv >= 0
-            left = np.concatenate([at[has], prv[back]])
-            if not len(left):
+    token, after, before = start.tolist(), after.tolist(), before.tolist()
+    size, find = table.size, table.pairs.get
+    index: dict[int, list[int]] = {}
+    joined: dict[int, int] = {}
+    for p in np.flatnonzero(np.array(after) >= 0).tolist():
+        got = find(token[p] * size + token[p + 1])
+        if got is not None:
+            rank = got[0]
+            if rank in index:
+                index[rank].append(p)
+            else:
+                index[rank], joined[rank] = [p], got[1]
+    order = list(index)
+    heapq.heapify(order)
+    pop, push = heapq.heappop, heapq.heappush
+    while order:
+        rank = order[0]
+        places = index[rank]
+        if not places:
+            pop(order)
+            del index[rank]
+            continue
+        places.sort()  # a sorted list is a heap
+        new = joined[rank]
+        while places and order[0] == rank:
+            p = pop(places)
+            q = after[p]
+            if q < 0:
                 continue
-            r, j = table.look_up(token[left], token[after[left]])
-            rank[left], joined[left] = r, j
-            new = r != NONE
-            lower = new & (r <= np.concatenate([was[has], was[back]]))
-            if lower.any():
-                odd.append(word[left[lower]])
-            left, r = left[new], r[new]
-            where = np.searchsorted(edges, r, side="right") - 1
-            where = np.maximum(where, band)
-            o = np.argsort(where, kind="stable")
-            where, left = where[o], left[o]
-            cut = np.flatnonzero(np.diff(where)) + 1
-            for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(where)]])):
-                if b > a:
-                    index[where[a]].append(left[a:b])
-    kept = token >= 0
-    counts = np.bincount(word[kept], minlength=len(words)).astype(np.int64)
-    flat = token[kept]
-    if odd:  # a merge opened a pair of no higher rank: such words take their merges one by one
-        again = np.unique(np.concatenate(odd))
-        cut = np.concatenate([[0], np.cumsum(counts)])
-        parts = np.split(flat, cut[1:-1])
-        for i in again:
-            parts[i] = np.array(alone(words[i], table), dtype=np.int32)
-        return np.concatenate(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    return flat, counts
+            got = find(token[p] * size + token[q])
+            if got is None or got[0] != rank:
+                continue  # another merge has changed the pair
+            r = after[q]
+            token[p], token[q], after[p], after[q] = new, -1, r, -1
+            if r >= 0:
+                before[r] = p
+            for left in (before[p], p):
+                if left >= 0 and (right := after[left]) >= 0:
+                    got = find(token[left] * size + token[right])
+                    if got is not None:
+                        other = got[0]
+                        if other not in index:
+                            index[other], joined[other] = [left], got[1]
+                            push(order, other)
+                        elif other == rank:
+                            push(places, left)
+                        else:
+                            index[other].append(left)
+    token = np.array(token, dtype=np.int64)
+    left = token >= 0
+    return token[left].astype(np.int32), np.bincount(word[left], minlength=len(words)).astype(np.int64)

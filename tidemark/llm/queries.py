@@ -77,7 +77,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
     counts = [pii.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("spans"), pii.BASE), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("spans"), pii.BASE), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), (F.size("spans").cast("long") - sum(pii.count_of(F.col("spans"), kind) for kind in pii.BASE)).alias("n_added"), F.size("spans").cast("long").alias("n_total"))
 
 
 @query

@@ -1,35 +1,34 @@
 """Token counts without ids.
 
-Pre-tokens of a slice are put in a table of distinct words. The file's merges are run once over that table and count
-the pieces of each word (the library itself takes about 25 microseconds a word for objects that aren't needed here);
-the per-document frequencies of the words join the table by word number, and frequency times pieces is summed.
-Special strings inside a text (the added tokens of the file) count as the library has them by default: one id each.
+The pieces of each distinct pre-token of the corpus are counted once, by the merges of the tokenizer file (see
+``pretokens`` and ``merges``; the library itself takes about 25 microseconds a word for objects that aren't needed here).
+The counts join the frequencies of the pre-tokens in each document, and frequency times pieces is summed. Special strings
+inside a text (the added tokens of the file) count as the library has them by default: one id each.
 
-Nulls and empty texts have zero tokens. Rows stay one to one, repeated rows too; other columns are left behind.
+Nulls and empty texts have zero tokens. Rows stay one to one, repeated rows and null ids too; very long texts and words
+have no bound; empty tables give empty results. Other columns are left behind.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, map_batches
-from .merges import PairTable, replay
+from .common import id_and_text
+from .merges import PairTable, kept, replay
+from .pretokens import joined, sizes_of, valued, with_slices
 
-#: Distinct pre-tokens whose counts a worker keeps.
-MEMO = 400_000
 
+class Splitter:
+    """Pre-tokens and special strings of a text. ``definition`` is the text of a tokenizer file with byte-level pre-tokens."""
 
-class Counter:
-    """Counts of texts; the state of one worker. ``definition`` is the text of a tokenizer file with byte-level pre-tokens."""
-
-    def __init__(self, definition: str, pattern: str, memo: int = MEMO):
+    def __init__(self, definition: str, pattern: str):
         spec = json.loads(definition)
         pre = spec.get("pre_tokenizer") or {}
         added = spec.get("added_tokens") or []
@@ -40,61 +39,43 @@ class Counter:
             raise ValueError("only plain byte-level files are counted by pre-token")
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("added tokens that take their surroundings with them can't be cut out")
-        self.table = PairTable.from_definition(definition)
         self.split = regex.compile(pattern).findall
         special = sorted((t["content"] for t in added if t["content"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.memo = memo
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pieces = np.zeros(1 << 14, dtype=np.int64)
-
-    def words(self, text: str) -> tuple[list[str], int]:
-        """Pre-tokens, and the number of special strings."""
-        if self.special is None or not (marks := self.special.findall(text)):
-            return self.split(text), 0
-        return [w for part in self.special.split(text) for w in self.split(part)], len(marks)
-
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        words: list[str] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        extra = np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                found, extra[i] = self.words(text)
-                counts[i] = len(found)
-                words += found
-        if len(self.known) > self.memo:
-            self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        base = len(self.known)
-        while base + len(new) > len(self.pieces):
-            self.pieces = np.concatenate([self.pieces, np.zeros_like(self.pieces)])
-        if new:
-            self.pieces[base : base + len(new)] = replay([w.encode("utf-8", "surrogatepass") for w in new], self.table)[1]
-        self.known.update(zip(new, range(base, base + len(new))))
-        if not words:
-            return extra
-        word = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        doc = np.repeat(np.arange(len(texts)), counts)
-        pair, times = np.unique(doc * (len(self.known) + 1) + word, return_counts=True)  # (document, word) with its frequency
-        doc, word = np.divmod(pair, len(self.known) + 1)
-        return extra + np.bincount(doc, weights=times * self.pieces[word], minlength=len(texts)).astype(np.int64)
+
+    def words(self, text: str) -> list[str]:
+        if self.special is None or not self.special.search(text):
+            return self.split(text)
+        return [w for part in self.special.split(text) for w in self.split(part)]
+
+    def marks(self, text: str) -> int:
+        return len(self.special.findall(text)) if self.special else 0
 
 
 def count_tokens(df: DataFrame, definition: str, pattern: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text. ``definition`` (1.5 MB here) is read on the driver and sent along."""
-    shared = df.sparkSession.sparkContext.broadcast((definition, pattern))
-    state: dict[str, Counter] = {}
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if "counter" not in state:
-            state["counter"] = Counter(*shared.value)
-        texts = batch.column(1)
-        sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-        tokens = state["counter"](texts.to_pylist())
-        return pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return map_batches(id_and_text(df, id_col, text_col), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    Splitter(definition, pattern)  # a file that can't be counted so is an error before anything runs
+    shared = df.sparkSession.sparkContext.broadcast(definition)
+    name = hashlib.md5((pattern + definition).encode()).hexdigest()
+    dealt = with_slices(id_and_text(df, id_col, text_col))
+
+    def splitter() -> Splitter:
+        return kept("split " + name, lambda: Splitter(shared.value, pattern))
+
+    def pieces(words: list[str]) -> pa.Array:
+        table = kept("pairs " + name, lambda: PairTable.from_definition(shared.value))
+        return pa.array(replay([w.encode("utf-8", "surrogatepass") for w in words], table)[1], pa.int64())
+
+    def made(batch: pa.RecordBatch, number: dict[str, int], values: pa.Array) -> pa.RecordBatch:
+        cut = splitter()
+        by_word = values.to_numpy(zero_copy_only=False).astype(np.int64)
+        n_tokens = np.zeros(batch.num_rows, dtype=np.int64)
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            if text:
+                found = cut.words(text)
+                word, times = np.unique(np.fromiter(map(number.__getitem__, found), dtype=np.int64, count=len(found)), return_counts=True)
+                n_tokens[i] = times @ by_word[word] + cut.marks(text) if len(found) else cut.marks(text)
+        return pa.RecordBatch.from_arrays([batch.column(0), sizes_of(batch), pa.array(n_tokens), pa.array(n_tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    counted = valued(dealt, lambda: splitter().words, pieces, "long")
+    return joined(dealt, counted, made, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
