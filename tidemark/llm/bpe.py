@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import id_and_text, list_array, spread, uncarried
 from .merges import PairTable, kept, replay
-from .pretokens import joined, valued, with_slices
+from .pretokens import Corpus
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -54,7 +54,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     name = hashlib.md5(repr(sorted(ranks.items())).encode()).hexdigest()
     rows = id_and_text(df, id_col, text_col, carried)
-    dealt = with_slices(rows)
+    corpus = Corpus(rows)
     along = [c for c in ("text", "carried") if carried]
 
     def split():
@@ -69,7 +69,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
         return pa.RecordBatch.from_arrays(found, names=["doc_id", "ids", *along])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *(rows.schema[c] for c in along)])
-    return uncarried(joined(dealt, valued(dealt, split, merged, "array<int>"), made, schema))
+    return uncarried(corpus.joined(corpus.valued(split, merged), made, schema))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids", carried: tuple[str, ...] = ()) -> DataFrame:

@@ -1,17 +1,19 @@
 """The distinct pre-tokens of a whole corpus, worked out once each, and brought back to the documents.
 
-1. Documents are dealt into slices of about ``SLICE`` bytes of text by a hash of the row. That exchange is used twice.
-2. Each slice gives its distinct pre-tokens. They are dealt by pre-token, so that all slices' rows of one stand in one
-   task, which works it out once for the corpus; the rest of its rows take the value from there. A frequent pre-token has
-   one row a slice, however often it stands in texts.
-3. The values go back to their slices, where documents and pre-tokens meet.
-
-The tables that travel beside the texts are distinct pre-tokens by slice, a few hundredths of the texts.
+1. Documents are dealt into slices of about ``SLICE`` bytes of text by a hash of the row, packed: a packet holds the rows
+   of one batch that go to one slice, compressed. That exchange is used twice.
+2. Each slice gives its distinct pre-tokens, dealt into parts by a hash of the pre-token, a packet a part. All slices' packets
+   of a part meet in one task, which works each pre-token out once for the corpus. A frequent pre-token is there once a
+   slice, however often it stands in texts.
+3. The values go back to their slices in packets, where documents and pre-tokens meet.
+
+The parts, like the slices, grow in number with the texts, so that a task's pre-tokens stay few.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,63 +23,98 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Bytes of text of a slice of the corpus.
-SLICE = 8 << 20
+#: Bytes of text of a slice of the corpus, and bytes of text for each part of its pre-tokens.
+SLICE, PART = 4 << 20, 32 << 20
+
+_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
-def with_slices(rows: DataFrame, size: int = SLICE) -> DataFrame:
-    """(doc_id, text, ...) with ``slice``."""
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-total // size)))))
+def packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=_ZSTD) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
 
 
-def texts_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Rows of a slice in batches that a worker takes apart at a time."""
-    return slices(iter(table.combine_chunks().to_batches()))
+def unpacked(packets: pa.ChunkedArray | pa.Array) -> Iterator[pa.RecordBatch]:
+    for packet in packets:
+        yield from pa.ipc.open_stream(packet.as_buffer())
 
 
-def valued(dealt: DataFrame, split: Callable[[], Callable[[str], list[str]]], value: Callable[[list[str]], pa.Array], kind: str) -> DataFrame:
-    """(slice, word, value): each slice's distinct pre-tokens, with what ``value`` makes of the distinct words of a lot."""
+class Corpus:
+    """(slice, packet) of rows (doc_id, text, ...), and the number of parts for their pre-tokens."""
 
-    def distinct(table: pa.Table) -> pa.Table:
-        cut = split()
-        words: set[str] = set()
-        for batch in texts_of(table):
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                if text:
-                    words.update(cut(text))
-        number = table["slice"][0].as_py() if table.num_rows else 0
-        return pa.table({"slice": pa.array(np.full(len(words), number, dtype=np.int64)), "word": pa.array(sorted(words), pa.string())})
+    def __init__(self, rows: DataFrame):
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.n_parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+        number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-total // SLICE))))
+        self.packets = rows.select(number.alias("slice"), "*").mapInArrow(self._pack, "slice long, packet binary")
 
-    def work_out(batches):
-        known: dict[str, int] = {}
-        values: list[pa.Array] = []
+    @staticmethod
+    def _pack(batches):
         for batch in batches:
-            words = batch.column(1).to_pylist()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if new:
+            if not batch.num_rows:
+                continue
+            number = batch.column(0).to_numpy()
+            order = np.argsort(number, kind="stable")
+            rows = batch.select(list(range(1, batch.num_columns))).take(pa.array(order))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(number[order])) + 1, [len(order)]])
+            made = [packed(rows.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(number[order][cuts[:-1]]), pa.array(made, pa.binary())], names=["slice", "packet"])
+
+    def valued(self, split: Callable[[], Callable[[str], list[str]]], value: Callable[[list[str]], pa.Array]) -> DataFrame:
+        """(slice, packet) of (word, value): each slice's distinct pre-tokens, and what ``value`` makes of distinct words."""
+        n_parts = self.n_parts
+
+        def distinct(table: pa.Table) -> pa.Table:
+            cut = split()
+            words: set[str] = set()
+            for batch in _texts(table["packet"]):
+                for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+                    if text:
+                        words.update(cut(text))
+            parts: dict[int, list[str]] = {}
+            for word in words:
+                parts.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % n_parts, []).append(word)
+            made = [packed(pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.string())], names=["word"])) for own in parts.values()]
+            number = table["slice"][0].as_py()
+            return pa.table({"slice": pa.array([number] * len(made), pa.int64()), "part": pa.array(list(parts), pa.int64()), "packet": pa.array(made, pa.binary())})
+
+        def work_out(batches):
+            known: dict[str, int] = {}
+            values: list[pa.Array] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                lots = [b.column(0).to_pylist() for b in unpacked(batch.column(2))]
+                new = [w for w in dict.fromkeys(w for lot in lots for w in lot) if w not in known]
                 known.update(zip(new, range(len(known), len(known) + len(new))))
-                values.append(value(new))
-            at = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-            if len(values) > 1:
-                values = [pa.concat_arrays(values)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, values[0].take(pa.array(at)) if values else pa.nulls(0)], names=["slice", "word", "value"])
+                values = [pa.concat_arrays([*values, value(new)])] if new else values
+                made = []
+                for lot in lots:
+                    at = np.fromiter(map(known.__getitem__, lot), dtype=np.int64, count=len(lot))
+                    made.append(packed(pa.RecordBatch.from_arrays([pa.array(lot, pa.string()), values[0].take(pa.array(at))], names=["word", "value"])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["slice", "packet"])
+
+        words = self.packets.groupBy("slice").applyInArrow(distinct, "slice long, part long, packet binary")
+        return words.repartition(n_parts, "part").mapInArrow(work_out, "slice long, packet binary")
 
-    words = dealt.groupBy("slice").applyInArrow(distinct, "slice long, word string")
-    return words.repartition("word").mapInArrow(work_out, f"slice long, word string, value {kind}")
+    def joined(self, words: DataFrame, made: Callable[[pa.RecordBatch, dict[str, int], pa.Array], pa.RecordBatch], schema: str) -> DataFrame:
+        """``made(rows, number of each pre-token, values)`` over the rows of each slice."""
 
+        def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+            lots = list(unpacked(found["packet"]))
+            names = [w for lot in lots for w in lot.column(0).to_pylist()]
+            values = pa.concat_arrays([lot.column(1) for lot in lots]) if lots else pa.nulls(0)
+            number = dict(zip(names, range(len(names))))
+            return pa.Table.from_batches([made(batch, number, values) for batch in _texts(rows["packet"])])
 
-def joined(dealt: DataFrame, words: DataFrame, made: Callable[[pa.RecordBatch, dict[str, int], pa.Array], pa.RecordBatch], schema: str) -> DataFrame:
-    """``made(rows, number of each pre-token, values)`` over the rows of each slice."""
+        return self.packets.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(run, schema)
 
-    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        names = found["word"].to_pylist()
-        values = found["value"].combine_chunks()
-        values = pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values
-        number = dict(zip(names, range(len(names))))
-        return pa.Table.from_batches([made(batch, number, values) for batch in texts_of(rows)])
 
-    return dealt.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(run, schema)
+def _texts(packets: Iterable) -> Iterator[pa.RecordBatch]:
+    """Rows in batches that a worker takes apart at a time."""
+    return slices(unpacked(packets))
 
 
 def sizes_of(batch: pa.RecordBatch) -> pa.Array:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import id_and_text
 from .merges import PairTable, kept, replay
-from .pretokens import joined, sizes_of, valued, with_slices
+from .pretokens import Corpus, sizes_of
 
 
 class Splitter:
@@ -57,7 +57,7 @@ def count_tokens(df: DataFrame, definition: str, pattern: str, limit: int = 512,
     Splitter(definition, pattern)  # a file that can't be counted so is an error before anything runs
     shared = df.sparkSession.sparkContext.broadcast(definition)
     name = hashlib.md5((pattern + definition).encode()).hexdigest()
-    dealt = with_slices(id_and_text(df, id_col, text_col))
+    corpus = Corpus(id_and_text(df, id_col, text_col))
 
     def splitter() -> Splitter:
         return kept("split " + name, lambda: Splitter(shared.value, pattern))
@@ -77,5 +77,5 @@ def count_tokens(df: DataFrame, definition: str, pattern: str, limit: int = 512,
                 n_tokens[i] = times @ by_word[word] + cut.marks(text) if len(found) else cut.marks(text)
         return pa.RecordBatch.from_arrays([batch.column(0), sizes_of(batch), pa.array(n_tokens), pa.array(n_tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    counted = valued(dealt, lambda: splitter().words, pieces, "long")
-    return joined(dealt, counted, made, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    counted = corpus.valued(lambda: splitter().words, pieces)
+    return corpus.joined(counted, made, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
