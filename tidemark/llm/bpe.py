@@ -32,21 +32,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, file)))}
 
 
-def _ids(rows: pa.RecordBatch, number: dict[str, int], values: pa.Array, split) -> pa.ListArray:
+def _ids(texts: list[list[str]], number: dict[str, int], sizes: np.ndarray, ids: np.ndarray) -> pa.ListArray:
     """The ids of each text, from the ids of each pre-token."""
-    words: list[str] = []
-    counts = np.zeros(rows.num_rows, dtype=np.int64)
-    for i, text in enumerate(rows.column(1).to_pylist()):
-        if text:
-            found = split(text)
-            counts[i] = len(found)
-            words += found
-    at = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
-    offsets = values.offsets.to_numpy().astype(np.int64) if len(values) else np.zeros(1, dtype=np.int64)
-    flat = values.values.to_numpy(zero_copy_only=False) if len(values) else np.zeros(0, dtype=np.int32)
-    sizes = np.diff(offsets)[at]
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    return list_array(flat[spread(offsets[at], sizes)], np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]))
+    counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    at = np.fromiter((number[w] for words in texts for w in words), dtype=np.int64, count=int(counts.sum()))
+    own = sizes[at]
+    ends = np.concatenate([[0], np.cumsum(own)])
+    return list_array(ids[spread((np.cumsum(sizes) - sizes)[at], own)], np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]))
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
@@ -60,16 +52,16 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
     def split():
         return kept(pattern, lambda: regex.compile(pattern)).findall
 
-    def merged(words: list[str]) -> pa.Array:
+    def merged(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         table = kept(name, lambda: PairTable.from_ranks(shared.value))
-        return list_array(*replay([w.encode("utf-8", "surrogatepass") for w in words], table))
+        return replay([w.encode("utf-8", "surrogatepass") for w in words], table)
 
-    def made(batch: pa.RecordBatch, number: dict[str, int], values: pa.Array) -> pa.RecordBatch:
-        found = [batch.column(0), _ids(batch, number, values, split()), *(batch.column(batch.schema.get_field_index(c)) for c in along)]
+    def made(batch: pa.RecordBatch, texts: list[list[str]], number: dict[str, int], sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        found = [batch.column(0), _ids(texts, number, sizes, ids), *(batch.column(batch.schema.get_field_index(c)) for c in along)]
         return pa.RecordBatch.from_arrays(found, names=["doc_id", "ids", *along])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *(rows.schema[c] for c in along)])
-    return uncarried(corpus.joined(corpus.valued(split, merged), made, schema))
+    return uncarried(corpus.joined(corpus.valued(split, merged, True), split, made, schema))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids", carried: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,8 @@
 2. Each slice gives its distinct pre-tokens, dealt into parts by a hash of the pre-token, a packet a part. All slices' packets
    of a part meet in one task, which works each pre-token out once for the corpus. A frequent pre-token is there once a
    slice, however often it stands in texts.
-3. The values go back to their slices in packets, where documents and pre-tokens meet.
+3. The ids, or just their numbers, go back to their slices in packets, without the pre-tokens: a slice knows its own and
+   their order.
 
 The parts, like the slices, grow in number with the texts, so that a task's pre-tokens stay few.
 """
@@ -20,8 +21,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, spread
 
 #: Bytes of text of a slice of the corpus, and bytes of text for each part of its pre-tokens.
 SLICE, PART = 4 << 20, 32 << 20
@@ -62,8 +64,8 @@ class Corpus:
             made = [packed(rows.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(number[order][cuts[:-1]]), pa.array(made, pa.binary())], names=["slice", "packet"])
 
-    def valued(self, split: Callable[[], Callable[[str], list[str]]], value: Callable[[list[str]], pa.Array]) -> DataFrame:
-        """(slice, packet) of (word, value): each slice's distinct pre-tokens, and what ``value`` makes of distinct words."""
+    def valued(self, split: Callable[[], Callable[[str], list[str]]], replay: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], with_ids: bool) -> DataFrame:
+        """(slice, part, packet): the ids of a slice's pre-tokens of a part, in their order, and how many each has."""
         n_parts = self.n_parts
 
         def distinct(table: pa.Table) -> pa.Table:
@@ -73,43 +75,64 @@ class Corpus:
                 for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
                     if text:
                         words.update(cut(text))
-            parts: dict[int, list[str]] = {}
-            for word in words:
-                parts.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % n_parts, []).append(word)
-            made = [packed(pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.string())], names=["word"])) for own in parts.values()]
+            parts = in_parts(words, n_parts)
+            made = [packed(pa.RecordBatch.from_arrays([pa.array(own, pa.string())], names=["word"])) for own in parts.values()]
             number = table["slice"][0].as_py()
             return pa.table({"slice": pa.array([number] * len(made), pa.int64()), "part": pa.array(list(parts), pa.int64()), "packet": pa.array(made, pa.binary())})
 
         def work_out(batches):
             known: dict[str, int] = {}
-            values: list[pa.Array] = []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            flat, sizes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+            for batch in slices(batches, "packet"):
                 lots = [b.column(0).to_pylist() for b in unpacked(batch.column(2))]
                 new = [w for w in dict.fromkeys(w for lot in lots for w in lot) if w not in known]
                 known.update(zip(new, range(len(known), len(known) + len(new))))
-                values = [pa.concat_arrays([*values, value(new)])] if new else values
+                more, counts = replay(new)
+                flat, sizes = np.concatenate([flat, more]) if with_ids else flat, np.concatenate([sizes, counts])
+                start = np.cumsum(sizes) - sizes
                 made = []
                 for lot in lots:
                     at = np.fromiter(map(known.__getitem__, lot), dtype=np.int64, count=len(lot))
-                    made.append(packed(pa.RecordBatch.from_arrays([pa.array(lot, pa.string()), values[0].take(pa.array(at))], names=["word", "value"])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["slice", "packet"])
+                    ids = flat[spread(start[at], sizes[at])] if with_ids else flat
+                    row = [pa.array([narrow(sizes[at])]), pa.array([narrow(ids)])]
+                    made.append(packed(pa.RecordBatch.from_arrays(row, names=["sizes", "ids"])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["slice", "part", "packet"])
 
         words = self.packets.groupBy("slice").applyInArrow(distinct, "slice long, part long, packet binary")
-        return words.repartition(n_parts, "part").mapInArrow(work_out, "slice long, packet binary")
+        return words.repartition(n_parts, "part").mapInArrow(work_out, "slice long, part long, packet binary")
 
-    def joined(self, words: DataFrame, made: Callable[[pa.RecordBatch, dict[str, int], pa.Array], pa.RecordBatch], schema: str) -> DataFrame:
-        """``made(rows, number of each pre-token, values)`` over the rows of each slice."""
+    def joined(self, values: DataFrame, split: Callable[[], Callable[[str], list[str]]], made: Callable[..., pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
+        """``made(rows, pre-tokens of each row, number of each pre-token, sizes, ids)`` over the rows of each slice."""
+        n_parts = self.n_parts
 
         def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-            lots = list(unpacked(found["packet"]))
-            names = [w for lot in lots for w in lot.column(0).to_pylist()]
-            values = pa.concat_arrays([lot.column(1) for lot in lots]) if lots else pa.nulls(0)
-            number = dict(zip(names, range(len(names))))
-            return pa.Table.from_batches([made(batch, number, values) for batch in _texts(rows["packet"])])
-
-        return self.packets.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(run, schema)
+            cut = split()
+            batches = list(_texts(rows["packet"]))
+            texts = [[cut(t) if t else [] for t in b.column(b.schema.get_field_index("text")).to_pylist()] for b in batches]
+            parts = in_parts({w for own in texts for words in own for w in words}, n_parts)
+            packets = dict(zip(found["part"].to_pylist(), found["packet"].to_pylist()))
+            sizes, ids = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+            for part in parts:
+                (lot,) = unpacked([pa.scalar(packets[part], pa.binary())])
+                sizes.append(lot.column(0).values.to_numpy().astype(np.int64))
+                ids.append(lot.column(1).values.to_numpy().astype(np.int32))
+            number = {w: i for i, w in enumerate(w for own in parts.values() for w in own)}
+            sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+            return pa.Table.from_batches([made(batch, own, number, sizes, ids) for batch, own in zip(batches, texts)])
+
+        return self.packets.groupBy("slice").cogroup(values.groupBy("slice")).applyInArrow(run, schema)
+
+
+def in_parts(words: set[str], n_parts: int) -> dict[int, list[str]]:
+    """Words by part, each part and the parts in order, so that either side of an exchange numbers them alike."""
+    parts: dict[int, list[str]] = {}
+    for word in sorted(words):
+        parts.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % n_parts, []).append(word)
+    return dict(sorted(parts.items()))
+
+
+def narrow(numbers: np.ndarray) -> np.ndarray:
+    return numbers.astype(np.uint16 if not len(numbers) or int(numbers.max()) < 1 << 16 else np.int32)
 
 
 def _texts(packets: Iterable) -> Iterator[pa.RecordBatch]:

@@ -62,20 +62,20 @@ def count_tokens(df: DataFrame, definition: str, pattern: str, limit: int = 512,
     def splitter() -> Splitter:
         return kept("split " + name, lambda: Splitter(shared.value, pattern))
 
-    def pieces(words: list[str]) -> pa.Array:
+    def pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         table = kept("pairs " + name, lambda: PairTable.from_definition(shared.value))
-        return pa.array(replay([w.encode("utf-8", "surrogatepass") for w in words], table)[1], pa.int64())
-
-    def made(batch: pa.RecordBatch, number: dict[str, int], values: pa.Array) -> pa.RecordBatch:
-        cut = splitter()
-        by_word = values.to_numpy(zero_copy_only=False).astype(np.int64)
-        n_tokens = np.zeros(batch.num_rows, dtype=np.int64)
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            if text:
-                found = cut.words(text)
-                word, times = np.unique(np.fromiter(map(number.__getitem__, found), dtype=np.int64, count=len(found)), return_counts=True)
-                n_tokens[i] = times @ by_word[word] + cut.marks(text) if len(found) else cut.marks(text)
+        return replay([w.encode("utf-8", "surrogatepass") for w in words], table)
+
+    def made(batch: pa.RecordBatch, texts: list[list[str]], number: dict[str, int], sizes: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
+        marks = splitter().marks
+        n_tokens = np.fromiter((marks(t) if t else 0 for t in batch.column(1).to_pylist()), dtype=np.int64, count=batch.num_rows)
+        counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        word = np.fromiter((number[w] for words in texts for w in words), dtype=np.int64, count=int(counts.sum()))
+        pair, times = np.unique(np.repeat(np.arange(len(texts)), counts) * (len(number) + 1) + word, return_counts=True)
+        row, word = np.divmod(pair, len(number) + 1)  # (document, pre-token) with its frequency
+        if len(row):
+            n_tokens += np.bincount(row, weights=times * sizes[word], minlength=len(texts)).astype(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), sizes_of(batch), pa.array(n_tokens), pa.array(n_tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    counted = corpus.valued(lambda: splitter().words, pieces)
-    return corpus.joined(counted, made, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    words = lambda: splitter().words
+    return corpus.joined(corpus.valued(words, pieces, False), words, made, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
