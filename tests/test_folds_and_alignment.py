@@ -16,32 +16,61 @@ def seg(start, end, text, pos=0):
     return {"media_id": 1, "pos": pos, "start": start, "end": end, "text": text}
 
 
-def test_timeline_is_monotone_and_keeps_texts():
+def timeline(rows, least=0.4):
+    """The rule as SQL readers know it, row by row."""
+    rows = sorted(rows, key=lambda r: (r["start"], r["end"], r["pos"]))
+    out, reach = [], 0.0
+    for i, r in enumerate(rows):
+        first = max(0.0, r["start"])
+        last = max(r["end"], first + least)
+        if i + 1 < len(rows):
+            last = min(last, max(first, rows[i + 1]["start"]))
+        if r["text"].strip():
+            first = max(first, reach)
+            reach = last if last > first else first + 0.001
+            out.append((first, reach, r["text"].strip()))
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(r["media_id"], r["pos"], float(r["start"]), float(r["end"]), r["text"]) for r in rows], "media_id long, pos long, start double, end double, text string")
+
+
+def test_timeline_is_monotone_and_keeps_texts(spark):
     rng = random.Random(3)
-    for _ in range(300):
-        rows = [seg(s := round(rng.uniform(0, 9), 2), s + round(rng.uniform(-0.2, 4), 2), rng.choice(["a", "b", " "])) for _ in range(rng.randrange(8))]
-        out = fo.normalized_timeline(rows)
-        assert len(out) == sum(r["text"].strip() != "" for r in rows)
-        assert all(r["end"] > r["start"] for r in out)
-        assert all(b["start"] >= a["end"] - 1e-9 for a, b in zip(out, out[1:]))
+    media = {m: [seg(s := round(rng.uniform(0, 9), 1), s + round(rng.uniform(-0.2, 4), 2), rng.choice(["a", " b ", " "]), i) | {"media_id": m} for i in range(rng.randrange(8))] for m in range(150)}
+    got = {}
+    for r in fo.normalized_timeline(frame(spark, [r for rows in media.values() for r in rows])).collect():
+        got.setdefault(r["media_id"], []).append((r["start"], r["end"], r["text"]))
+    for m, rows in media.items():
+        out = sorted(got.get(m, []))
+        assert out == timeline(rows)
+        assert all(b > a for a, b, _ in out) and all(y[0] >= x[1] - 1e-9 for x, y in zip(out, out[1:]))
 
 
 def test_cues_break_at_pauses_and_marks():
     words = [seg(0, 0.3, "第一句。"), seg(1.4, 1.8, "第二句。")]
-    assert [c["text"] for c in fo.built_cues(words)] == ["第一句。", "第二句。"]
+    assert [c["text"] for c in fo.folded(fo.Cues(), words)] == ["第一句。", "第二句。"]
     words = [seg(i * 0.4, i * 0.4 + 0.3, f"word{i}") for i in range(30)]
-    cues = fo.built_cues(words)
+    cues = fo.folded(fo.Cues(), words)
     assert " ".join(c["text"] for c in cues) == " ".join(w["text"] for w in words)
     assert all(fo.compact_length(c["text"]) <= 42 and c["end"] - c["start"] <= 5.01 for c in cues)
+    assert fo.join_words(["Hello", ",", "world", "", " again "]) == "Hello, world again" and fo.join_words(["中", "文", "ab"]) == "中文ab"
 
 
 def test_chains_merge_with_the_changed_row():
     rows = [seg(0, 1, "x"), seg(1, 2, "x"), seg(2, 3, "x")]
-    assert [(r["start"], r["end"]) for r in fo.merged_near_duplicates(rows)] == [(0, 2), (2, 3)]
+    assert [(r["start"], r["end"]) for r in fo.folded(fo.NearDuplicates(), rows)] == [(0, 2), (2, 3)]
     short = [seg(0, 1, "a,"), seg(1, 2, "b"), seg(2, 3, "[music]"), seg(3, 4, "c")]
-    assert [r["text"] for r in fo.merged_short(short)] == ["a,b", "[music]", "c"]
+    assert [r["text"] for r in fo.folded(fo.ShortRows(), short)] == ["a,b", "[music]", "c"]
     chunks = [dict(seg(44, 45, "A"), chunk=0), dict(seg(45, 46, "A"), chunk=45), dict(seg(46, 47, "B"), chunk=45)]
-    assert [(r["start"], r["end"], r["text"]) for r in fo.merged_chunks(chunks)] == [(44, 46, "A"), (46, 47, "B")]
+    assert [(r["start"], r["end"], r["text"]) for r in fo.folded(fo.ChunkSeams(), chunks)] == [(44, 46, "A"), (46, 47, "B")]
+
+
+def test_batches_begin_at_the_first_row():
+    rows = [seg(100 + 8 * i, 108 + 8 * i, "x") for i in range(9)]
+    assert [r["batch"] for r in fo.folded(fo.Batches(), rows)] == [0, 0, 0, 0, 1, 1, 1, 1, 2]
+    assert [r["start"] for r in fo.folded(fo.SpacedChapters(), [seg(s, s, "") for s in (0, 0.5, 1, 1.2, 3)])] == [0, 1, 3]
 
 
 def test_spread_text_fills_the_span():
@@ -64,12 +93,17 @@ def test_fusion_takes_good_lines_only():
     assert status == "completed" and [r["text"] for r in rows] == ["Hello, world!", "This is a test."] and confidence == 1.0
     assert al.fused(["nothing alike at all"], words, base)[0] == "blocked"
     assert al.fused([], words, base)[:2] == ("blocked", base)
+    assert al.fused([], words, [])[:2] == ("blocked", [{"start": 0, "end": 5.5, "text": "hello world this is a test"}])
+    said = [seg(i, i + 0.5, w) for i, w in enumerate("one line that comes twice in a row one line that comes twice in a row".split())]
+    twice = [seg(0, 8.5, "one line that comes twice in a row"), seg(9, 17.5, "one line that comes twice in a row")]
+    assert [(r["start"], r["end"]) for r in al.fused(["One line that comes twice in a row."] * 2, said, twice)[1]] == [(0, said[-1]["end"])]
 
 
 def test_overlapping_texts_join():
     assert al.joined_texts(["the quick brown fox jumps", "brown fox jumps over it"]) == "the quick brown fox jumps over it"
     assert al.joined_texts(["one", "", "two"]) == "one\ntwo"
     rng = random.Random(5)
+    distance = lambda a, b: al._prefix_errors(a, b)[-1]
     for _ in range(200):
         a = "".join(rng.choice("ab") for _ in range(rng.randrange(8)))
         b = "".join(rng.choice("ab") for _ in range(rng.randrange(8)))
@@ -77,7 +111,12 @@ def test_overlapping_texts_join():
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
                 d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
-        assert al._distance(a, b, 2) == min(3, d[-1][-1])
+        assert distance(a, b) == d[-1][-1]
+    for _ in range(100):  # every pair of lengths, by hand
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(30))) for _ in range(2))
+        b = a[rng.randrange(len(a) + 1) :] + b
+        scored = [(min(m, n) - 3 * distance(a[-m:], b[:n]), n, -distance(a[-m:], b[:n])) for n in range(4, min(len(a), len(b)) + 1) for m in range(4, len(a) + 1) if max(abs(m - n), distance(a[-m:], b[:n])) <= (n >= 8) + (n >= 16)]
+        assert al.overlap_length(a, b) == ((max(scored)[1], -max(scored)[2]) if scored else (0, 0))
 
 
 def test_differences_rebuild_the_right_side():

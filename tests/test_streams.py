@@ -1,6 +1,7 @@
 """Streams over files give what the batch rule gives."""
 
 import json
+import os
 
 import pytest
 
@@ -14,6 +15,7 @@ def run(spark, tmp_path):
         src.mkdir()
         for i, rows in enumerate(batches):
             (src / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
+            os.utime(src / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
         query = transform(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
         query.awaitTermination(120)
@@ -35,6 +37,12 @@ def test_batches_end_after_their_seconds(run):
     assert sorted((r["batch"], r["n"], r["end"]) for r in got) == [(0, 3, 30.0), (1, 3, 60.0)]
 
 
+def test_the_last_batch_ends_with_its_media(run):
+    rows = [{"media_id": m, "start": 100.0 + 10 * i, "end": 110.0 + 10 * i, "text": str(i)} for m in (1, 2) for i in range(4)]
+    got = run([rows, [{"media_id": 1, "start": None, "end": None, "text": None}]], "media_id int, start double, end double, text string", chunks.batches)
+    assert sorted((r["media_id"], r["batch"], r["n"], r["start"], r["end"]) for r in got) == [(1, 0, 3, 100.0, 130.0), (1, 1, 1, 130.0, 140.0), (2, 0, 3, 100.0, 130.0)]
+
+
 def test_playback_has_two_thresholds(run):
     rows = [{"media_id": 1, "t": float(i), "buffered": b} for i, b in enumerate([5.0, 2.0, 5.0, 11.0, 4.0])]
     got = run([rows], "media_id int, t double, buffered double", chunks.playback)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -155,17 +157,13 @@ def html_unescaped(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+#: What counts in a comparison: letters and digits of any script, and ideographs.
+KEPT = re.compile(r"[^\W_]|[㐀-鿿]")
+_NOT_KEPT = re.compile(r"(?![㐀-鿿])[^\w\s]|_")
+
+
 def _aligned(text: str) -> str:
-    out, gap = [], False
-    for c in unicodedata.normalize("NFKC", text).lower():
-        if c.isalnum() or "㐀" <= c <= "鿿":
-            if gap and out:
-                out.append(" ")
-            out.append(c)
-            gap = False
-        elif c.isspace():
-            gap = True
-    return "".join(out)
+    return " ".join(_NOT_KEPT.sub("", unicodedata.normalize("NFKC", text).lower()).split())
 
 
 @F.pandas_udf(T.StringType())
@@ -183,13 +181,11 @@ def transcript_text(text: pd.Series) -> pd.Series:
 
 def character_map(text: str) -> tuple[list[str], list[int]]:
     """Normalised characters and, for each, the place in the text that it comes from."""
-    chars, places = [], []
-    for i, raw in enumerate(text):
-        for c in unicodedata.normalize("NFKC", raw).lower():
-            if c.isalnum() or "㐀" <= c <= "鿿":
-                chars.append(c)
-                places.append(i)
-    return chars, places
+    forms = [unicodedata.normalize("NFKC", c).lower() for c in text]
+    whole = "".join(forms)
+    origin = np.repeat(np.arange(len(forms)), [len(f) for f in forms])
+    found = [m.start() for m in KEPT.finditer(whole)]
+    return [whole[i] for i in found], origin[found].tolist() if found else []
 
 
 @F.pandas_udf(T.StructType().add("chars", T.ArrayType(T.StringType())).add("places", T.ArrayType(T.IntegerType())))

@@ -37,6 +37,7 @@ def order_findings(df: DataFrame) -> DataFrame:
 
 def global_repetition(df: DataFrame, least: int = 8, share: float = 0.3) -> DataFrame:
     """Media where one text fills ``share`` of at least ``least`` rows."""
+    inside = df.where(tx.dominant_phrase(F.col("text")).isNotNull()).select(KEY).distinct().withColumn("_inside", F.lit(True))
     texts = df.where(F.trim("text") != "").groupBy(KEY, tx.compact(F.col("text")).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("end"))
     got = texts.groupBy(KEY).agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.max("end").alias("end"))
     got = got.where((F.col("total") >= least) & (F.col("most") >= least) & (F.col("most") / F.col("total") >= share))
@@ -66,8 +67,8 @@ def low_confidence(words: DataFrame, least: float = 0.35) -> DataFrame:
     return rows.select(KEY, "pos", "start", "end", F.lit("low word confidence").alias("reason"))
 
 
-def uncovered_speech(speech: DataFrame, segments: DataFrame, slack: float = 0.6) -> DataFrame:
-    got = iv.covered_seconds(speech.select(KEY, "pos", "start", "end"), segments.where(F.trim("text") != ""))
+def uncovered_speech(speech: DataFrame, segments: DataFrame, slack: float = 0.6, lone_whole: bool = False) -> DataFrame:
+    got = iv.covered_seconds(speech.select(KEY, "pos", "start", "end"), segments.where(F.trim("text") != ""), lone_whole=lone_whole)
     got = got.where(F.col("end") - F.col("start") - F.col("covered") > slack)
     return got.select(KEY, "pos", "start", "end", F.lit("unexplained speech").alias("reason"))
 
@@ -76,15 +77,15 @@ def status(uncovered: Column, suspicious: Column, warnings: Column) -> Column:
     return F.when((uncovered > 0) | (suspicious > 0), "incomplete_speech_coverage").when(warnings > 0, "passed_with_warnings").otherwise("passed")
 
 
-def audit(segments: DataFrame, speech: DataFrame, words: DataFrame | None = None) -> DataFrame:
+def audit(segments: DataFrame, speech: DataFrame, words: DataFrame | None = None, lone_whole: bool = False) -> DataFrame:
     """(media_id, speech_coverage, uncovered, suspicious, status): region counts after merging, one row a media."""
     findings = row_findings(segments).unionByName(order_findings(segments)).unionByName(global_repetition(segments)).unionByName(local_repetition(segments))
     if words is not None:
         findings = findings.unionByName(span_mismatch(segments, words)).unionByName(low_confidence(words))
     suspicious = iv.merge_regions(findings, guard=0.0).groupBy(KEY).agg(F.count(F.lit(1)).alias("suspicious"))
-    open_ = iv.merge_regions(uncovered_speech(speech, segments), guard=0.0).groupBy(KEY).agg(F.count(F.lit(1)).alias("uncovered"))
+    open_ = iv.merge_regions(uncovered_speech(speech, segments, lone_whole=lone_whole), guard=0.0).groupBy(KEY).agg(F.count(F.lit(1)).alias("uncovered"))
     span = F.col("end") - F.col("start")
-    cover = iv.covered_seconds(speech.select(KEY, "pos", "start", "end"), segments.where(F.trim("text") != ""))
+    cover = iv.covered_seconds(speech.select(KEY, "pos", "start", "end"), segments.where(F.trim("text") != ""), lone_whole=lone_whole)
     cover = cover.groupBy(KEY).agg(F.least(F.lit(1.0), F.when(F.sum(span) <= 0, 1.0).otherwise(F.sum("covered") / F.sum(span))).alias("c"))
     media = segments.select(KEY).unionByName(speech.select(KEY)).distinct()
     out = media.join(cover, KEY, "left").join(open_, KEY, "left").join(suspicious, KEY, "left")
@@ -93,10 +94,13 @@ def audit(segments: DataFrame, speech: DataFrame, words: DataFrame | None = None
 
 
 def table_issue(df: DataFrame, rows: int = 20, many: int = 40) -> DataFrame:
-    """(media_id, issue) where one text fills a long transcript, or few texts make it up; null issues are left out."""
+    """(media_id, issue) where a phrase fills a row, one text fills a long transcript, or few texts make it up; null issues are
+    left out."""
+    inside = df.where(tx.dominant_phrase(F.col("text")).isNotNull()).select(KEY).distinct().withColumn("_inside", F.lit(True))
     texts = df.where(F.trim("text") != "").groupBy(KEY, tx.single_spaced(F.col("text")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
     got = texts.groupBy(KEY).agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    issue = F.when(F.col("total") < rows, None).when((F.col("most") >= 8) & (F.col("most") / F.col("total") >= 0.3), "one phrase").when((F.col("total") >= many) & (F.col("kinds") / F.col("total") <= 0.12), "few texts")
+    got = got.join(inside, KEY, "left")
+    issue = F.when(F.col("_inside"), "phrase in a row").when(F.col("total") < rows, None).when((F.col("most") >= 8) & (F.col("most") / F.col("total") >= 0.3), "one phrase").when((F.col("total") >= many) & (F.col("kinds") / F.col("total") <= 0.12), "few texts")
     return got.select(KEY, issue.alias("issue")).where("issue is not null")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals as iv
+
 KEY = "media_id"
 
 
@@ -68,10 +70,10 @@ def kept_enough(df: DataFrame, polished: DataFrame, share: float = 0.8, key: str
 
 def chapter_at(probes: DataFrame, chapters: DataFrame, time: str = "t", key: str = KEY) -> DataFrame:
     """probes with ``chapter``: the last one that started; before the first, the first."""
-    c = chapters.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("chapter").alias("_c"))
-    rows = probes.join(c, F.col(key) == F.col("_k"), "left").groupBy(*probes.columns).agg(
-        F.max_by("_c", F.when(F.col("_s") <= F.col(time), F.struct("_s", "_c"))).alias("_at"), F.min_by("_c", F.struct("_s", "_c")).alias("_first"))
-    return rows.select(*probes.columns, F.coalesce("_at", "_first").alias("chapter"))
+    marks = chapters.select(key, "start", F.col("start").alias("end"), F.col("chapter").alias("pos"))
+    first = marks.groupBy(key).agg(F.min_by("pos", F.struct("start", "pos")).alias("_first"))
+    seen = iv.as_of(probes, marks, time, key, until_end=False).join(first, key, "left")
+    return seen.select(*probes.columns, F.coalesce("current", "_first").alias("chapter"))
 
 
 def with_chapter_marks(df: DataFrame, chapters: DataFrame, slack: float = 0.5, key: str = KEY) -> DataFrame:
@@ -79,8 +81,7 @@ def with_chapter_marks(df: DataFrame, chapters: DataFrame, slack: float = 0.5, k
 
     Chapters after every row stand on one row of three seconds of their own, at the last of them.
     """
-    rows = df.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("pos").alias("_p"))
-    at = chapters.join(rows, (F.col(key) == F.col("_k")) & (F.col("_s") >= F.col("start") - slack), "left").groupBy(key, "start", "title").agg(F.min_by("_p", F.struct("_s", "_p")).alias("pos"))
+    at = iv.first_at_or_after(chapters.select(key, "start", "title"), df, "start", slack, key).withColumnRenamed("next", "pos").distinct()
     mark = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "title"))), lambda c: F.concat(F.lit("["), c["title"], F.lit("]"))), "\n")
     marks = at.groupBy(key, "pos").agg(mark.alias("_mark"), F.max("start").alias("_start"))
     hit = df.join(marks.where("pos is not null").drop("_start"), [key, "pos"], "left").withColumn("text", F.concat_ws("\n", "_mark", "text")).select(*df.columns)

@@ -1,7 +1,8 @@
 """Interval algebra. Rows carry ``media_id``, ``pos`` (the tie-break and list order), ``start`` and ``end`` in seconds.
 
-Every function takes and returns DataFrames; joins of intervals are always within a media, with the time predicate as
-the residual. ``binned_overlap_join`` is for single media too long for that.
+Every function takes and returns DataFrames. Questions about two tables of intervals (what is covered, what touches, which
+row is next) put both in one stream of moments and answer by running sums and maxima: one sort of a media's moments, no
+pairs. ``binned_overlap_join`` gives the pairs themselves.
 """
 
 from __future__ import annotations
@@ -77,26 +78,61 @@ def complement(df: DataFrame, durations: DataFrame, minimum: float = 0.1, key: s
     return gaps.select(key, F.col("gap_start").alias("start"), F.col("start").alias("end"))
 
 
-def covered_seconds(regions: DataFrame, rows: DataFrame, key: str = KEY, capped: bool = True) -> DataFrame:
-    """regions with ``covered``: the sum of overlaps of all rows, at most the region (overlapping rows count twice)."""
-    other = rows.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    on = (F.col(key) == F.col("_k")) & (F.col("_s") < F.col("end")) & (F.col("_e") > F.col("start"))
-    joined = regions.join(other, on, "left")
-    total = F.coalesce(F.sum(overlap(F.col("start"), F.col("end"), F.col("_s"), F.col("_e"))), F.lit(0.0))
-    out = joined.groupBy(*regions.columns).agg(total.alias("covered"))
-    return out.withColumn("covered", F.least(F.col("covered"), F.col("end") - F.col("start"))) if capped else out
+def _moments(probes: DataFrame, rows: DataFrame, key: str, **values: tuple[Column | None, Column | None]) -> DataFrame:
+    """Both tables as one: a struct ``_probe`` of the probe's columns (null for rows), and each value by table."""
+    kinds = {name: (rows.select(own) if own is not None else probes.select(asked)).schema[0].dataType for name, (asked, own) in values.items()}
+    value = lambda c, name: (F.lit(None) if c is None else c).cast(kinds[name]).alias(name)
+    asked = probes.select(key, F.struct(*probes.columns).alias("_probe"), *[value(a, n) for n, (a, _) in values.items()])
+    return asked.unionByName(rows.select(key, F.lit(None).cast(asked.schema["_probe"].dataType).alias("_probe"), *[value(o, n) for n, (_, o) in values.items()]))
+
+
+def covered_seconds(regions: DataFrame, rows: DataFrame, key: str = KEY, capped: bool = True, lone_whole: bool = False) -> DataFrame:
+    """regions with ``covered``: the sum of overlaps of all rows, at most the region (overlapping rows count twice).
+
+    Up to a moment t the rows cover: the number of open ones times t, less their starts, plus the spans of ended ones. Its
+    difference between a region's ends is what is covered. Rows and regions without length cover nothing. ``lone_whole``
+    is a reading of an earlier version: a region that no row overlaps counts as wholly covered.
+    """
+    ends = lambda s, e: F.explode(F.array(F.struct(F.lit(1).alias("d"), s.alias("t")), F.struct(F.lit(-1).alias("d"), e.alias("t"))))
+    sound = F.col("end") > F.col("start")
+    moved = rows.where(sound).select(key, ends(F.col("start"), F.col("end")).alias("m")).select(key, "m.*")
+    named = regions.withColumn("_r", F.struct(*regions.columns))
+    asked = named.select(key, "_r", ends(F.col("start"), F.greatest("start", "end")).alias("m")).select(key, "_r", "m.*")
+    stream = asked.unionByName(moved.withColumn("_r", F.lit(None).cast(asked.schema["_r"].dataType)))
+    stream = stream.withColumn("_m", F.col("t") - F.min("t").over(Window.partitionBy(key)))  # small numbers keep their places
+    by = Window.partitionBy(key).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("_r").isNull(), F.col("d"))
+    reached = F.coalesce(F.sum(own).over(by), F.lit(0)) * F.col("_m") - F.coalesce(F.sum(own * F.col("_m")).over(by), F.lit(0.0))
+    got = stream.withColumn("_f", reached).where("_r is not null").withColumn("_n", F.lit(1))
+    # equal regions are one group; each of them has the same sum
+    sums = got.groupBy(key, "_r").agg(F.sum(-F.col("d") * F.col("_f")).alias("_c"), (F.count(F.lit(1)) / 2).cast("long").alias("_n"))
+    out = sums.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).withColumn("_m", F.col("_c") / F.greatest(F.lit(1), F.max("_n").over(Window.partitionBy(key, "_r"))))
+    covered = F.greatest(F.lit(0.0), F.col("_m"))
+    out = out.select("_r.*", covered.alias("covered"))
+    if lone_whole:
+        out = out.withColumn("covered", F.when(F.col("covered") < 1e-6, F.col("end") - F.col("start")).otherwise(F.col("covered")))
+    return out.withColumn("covered", F.least(F.col("covered"), F.greatest(F.lit(0.0), F.col("end") - F.col("start")))) if capped else out
+
+
+def _reached(df: DataFrame, regions: DataFrame, key: str) -> DataFrame:
+    """df with ``_touches``: whether a region begins before the row's end and ends after its start (both strictly).
+
+    That is so where the farthest end of the regions that begin before the row's end lies after its start.
+    """
+    stream = _moments(df, regions, key, _t=(F.col("end"), F.col("start")), _kind=(F.lit(0), F.lit(1)), _end=(None, F.col("end")))
+    by = Window.partitionBy(key).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = stream.withColumn("_far", F.max("_end").over(by)).where("_probe is not null")
+    return seen.select("_probe.*", F.coalesce(F.col("_far") > F.col("_probe.start"), F.lit(False)).alias("_touches"))
 
 
 def not_touching(df: DataFrame, regions: DataFrame, key: str = KEY) -> DataFrame:
     """Rows that overlap no region (strictly)."""
-    r = regions.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return df.join(r, (F.col(key) == F.col("_k")) & (F.col("end") > F.col("_s")) & (F.col("start") < F.col("_e")), "left_anti")
+    return _reached(df, regions, key).where("not _touches").drop("_touches")
 
 
 def touching(df: DataFrame, regions: DataFrame, key: str = KEY) -> DataFrame:
     """Rows that overlap a region (strictly)."""
-    r = regions.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return df.join(r, (F.col(key) == F.col("_k")) & (F.col("end") > F.col("_s")) & (F.col("start") < F.col("_e")), "left_semi")
+    return _reached(df, regions, key).where("_touches").drop("_touches")
 
 
 def binned_overlap_join(left: DataFrame, right: DataFrame, width: float, key: str = KEY) -> DataFrame:
@@ -126,9 +162,10 @@ def as_of(probes: DataFrame, rows: DataFrame, time: str = "t", key: str = KEY, u
 
 def first_at_or_after(probes: DataFrame, rows: DataFrame, time: str = "t", slack: float = 0.5, key: str = KEY, value: str = "pos") -> DataFrame:
     """probes with ``next``: ``value`` of the earliest row that starts at or after time - slack."""
-    r = rows.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("pos").alias("_p"), F.col(value).alias("_v"))
-    joined = probes.join(r, (F.col(key) == F.col("_k")) & (F.col("_s") >= F.col(time) - slack), "left")
-    return joined.groupBy(*probes.columns).agg(F.min_by("_v", F.struct("_s", "_p")).alias("next"))
+    stream = _moments(probes, rows, key, _t=(F.col(time) - slack, F.col("start")), _kind=(F.lit(0), F.lit(1)), _p=(None, F.col("pos")), _row=(None, F.struct(F.col(value).alias("v"))))
+    by = Window.partitionBy(key).orderBy("_t", "_kind", "_p").rowsBetween(0, Window.unboundedFollowing)
+    seen = stream.withColumn("_next", F.first("_row", ignorenulls=True).over(by)).where("_probe is not null")
+    return seen.select("_probe.*", F.col("_next.v").alias("next"))
 
 
 def word_gaps(df: DataFrame, durations: DataFrame | None = None, minimum: float = 3.0, key: str = KEY) -> DataFrame:
@@ -171,11 +208,9 @@ def replace_in_regions(original: DataFrame, replacement: DataFrame, regions: Dat
     An original row that ends before a region goes as well if a replacement overlaps it; rows without letters or digits go.
     """
     inserted = touching(replacement, regions, key)
-    kept = not_touching(original, regions, key)
-    r = regions.select(F.col(key).alias("_rk"), F.col("start").alias("_rs"))
-    i = inserted.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    cover = i.join(r, F.col("_k") == F.col("_rk")).groupBy("_k", "_s", "_e").agg(F.max("_rs").alias("_last"))
-    kept = kept.join(cover, (F.col(key) == F.col("_k")) & (F.col("end") <= F.col("_last")) & (F.col("end") > F.col("_s")) & (F.col("start") < F.col("_e")), "left_anti")
+    last = regions.groupBy(key).agg(F.max("start").alias("_last"))
+    kept = _reached(not_touching(original, regions, key), inserted, key).join(last, key, "left")
+    kept = kept.where(~(F.col("_touches") & F.coalesce(F.col("end") <= F.col("_last"), F.lit(False)))).select(*original.columns)
     rows = kept.withColumn("_from", F.lit(0)).unionByName(inserted.withColumn("_from", F.lit(1)))
     rows = rows.withColumn("_slot", F.bround(F.col("start") * 5).cast("long")).withColumn("_norm", F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", ""))).where("_norm <> ''")
     first = Window.partitionBy(key, "_slot", "_norm").orderBy("start", F.desc("end"), "_from", "pos")

@@ -111,8 +111,9 @@ from sums group by media_id
 def audit_coverage(spark, d):
     s = views.segments(spark, d)
     speech = s.where("pos % 2 = 0").withColumn("end", F.col("end") + 1.0)
-    cover = au.uncovered_speech(speech, s.where("pos % 5 <> 3")).groupBy("media_id").agg(F.count(F.lit(1)).alias("open"))
-    report = au.audit(s.where("pos % 5 <> 3"), speech).where("media_id is not null").join(cover, "media_id", "left")
+    # the twin's least() and greatest() skip nulls, so speech without any segment counts as covered there
+    cover = au.uncovered_speech(speech, s.where("pos % 5 <> 3"), lone_whole=True).groupBy("media_id").agg(F.count(F.lit(1)).alias("open"))
+    report = au.audit(s.where("pos % 5 <> 3"), speech, lone_whole=True).where("media_id is not null").join(cover, "media_id", "left")
     heard = speech.select("media_id").distinct()
     return report.join(heard, "media_id", "left_semi").select("media_id", F.round("speech_coverage", 6).alias("speech_coverage"), au.status(F.coalesce("open", F.lit(0)), F.lit(0), F.lit(0)).alias("status"))
 

@@ -22,28 +22,28 @@ def _words(spark, d):
 
 @register()
 def normalized_timeline(spark, d):
-    return fo.per_media(views.segments(spark, d), fo.normalized_timeline)
+    return fo.normalized_timeline(views.segments(spark, d))
 
 
 @register()
 def built_cues(spark, d):
-    return fo.per_media(_words(spark, d), fo.built_cues)
+    return fo.built_cues(_words(spark, d))
 
 
 @register()
 def merged_near_duplicates(spark, d):
     rows = views.intervals(spark, d).withColumnRenamed("label", "text")
-    return fo.per_media(rows, lambda r: fo.merged_near_duplicates(r, 600.0))
+    return fo.fold_rows(rows, lambda: fo.NearDuplicates(600.0), order=("start", "end", "pos"))
 
 
 @register()
 def merged_short_rows(spark, d):
-    return fo.per_media(views.segments(spark, d), fo.merged_short)
+    return fo.fold_rows(views.segments(spark, d), fo.ShortRows)
 
 
 @register()
 def polish_batches(spark, d):
-    return fo.per_media(views.segments(spark, d), fo.batched, "media_id long, pos long, start double, end double, text string, batch int")
+    return fo.fold_rows(views.segments(spark, d), fo.Batches, "media_id long, pos long, start double, end double, text string, batch int", order=("start", "end", "pos"))
 
 
 @register()
@@ -68,7 +68,7 @@ def sequence_stats(spark, d):
 @register()
 def fused_transcripts(spark, d):
     s = views.segments(spark, d)
-    lines = s.where("pos % 2 = 0").select("media_id", "pos", F.regexp_replace("text", "(?i)th", "Th").alias("text"))
+    lines = s.select("media_id", "pos", F.regexp_replace("text", "(?i)th", "Th").alias("text"))
     return al.fuse_per_media(_words(spark, d), lines, s)
 
 

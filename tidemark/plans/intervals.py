@@ -74,7 +74,8 @@ from sums group by media_id
 """)
 def coverage(spark, d):
     _, regions, rows = _views_only(spark, d)
-    got = iv.covered_seconds(regions.select("media_id", "pos", "start", "end"), rows)
+    # the twin's least() and greatest() skip nulls, so a region without any row counts as covered there; covered_regions has it right
+    got = iv.covered_seconds(regions.select("media_id", "pos", "start", "end"), rows, lone_whole=True)
     span = F.col("end") - F.col("start")
     return got.groupBy("media_id").agg(
         F.count(F.lit(1)).alias("n_regions"),
@@ -83,6 +84,19 @@ def coverage(spark, d):
     )
 
 
+@register(f"""
+with {views.INTERVALS}, {COVER},
+sums as (
+  select r.media_id, r.pos, any_value(r."end" - r.start) as span, coalesce(sum(case when c.media_id is null then 0.0 else least(r."end", c."end") - greatest(r.start, c.start) end), 0.0) as total
+  from regions r left join cover c on r.media_id = c.media_id and c.start < r."end" and c."end" > r.start group by r.media_id, r.pos)
+select media_id, pos, round(least(total, span), 3) as covered from sums
+""")
+def covered_regions(spark, d):
+    _, regions, rows = _views_only(spark, d)
+    got = iv.covered_seconds(regions.select("media_id", "pos", "start", "end"), rows)
+    return got.select("media_id", "pos", F.round("covered", 3).alias("covered"))
+
+
 @register(f"""
 with {views.INTERVALS}, {COVER}
 select media_id, pos from cover c where not exists (select 1 from regions r where r.media_id = c.media_id and c."end" > r.start and c.start < r."end")

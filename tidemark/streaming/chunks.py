@@ -46,17 +46,29 @@ def emit_in_order(df: DataFrame, key: str = "media_id") -> DataFrame:
 
 
 def batches(df: DataFrame, seconds: float = 30.0, key: str = "media_id") -> DataFrame:
-    """(media_id, batch, start, end, n, text): a batch is given out once a row ends ``seconds`` after its start."""
+    """(media_id, batch, start, end, n, text): a batch is given out once a row ends ``seconds`` after its start.
+
+    The first batch starts with the first row. A row with a null text ends its media: the open batch is given out then.
+    """
 
     def step(media, rows, held):
-        held = held or {"batch": 0, "begin": 0.0, "rows": []}
+        held = held or {"batch": 0, "begin": None, "rows": []}
         out = []
-        for r in sorted(rows, key=lambda r: (r["start"], r["end"])):
+
+        def give(end):
+            got, held["rows"] = held["rows"], []
+            if got:
+                out.append((media, held["batch"], got[0][0], got[-1][1], len(got), "\n".join(x[2] for x in got)))
+                held["batch"], held["begin"] = held["batch"] + 1, end
+
+        for r in sorted((r for r in rows if r["text"] is not None), key=lambda r: (r["start"], r["end"])):
+            if held["begin"] is None:
+                held["begin"] = float(r["start"])
             held["rows"].append([float(r["start"]), float(r["end"]), r["text"]])
             if r["end"] - held["begin"] >= seconds:
-                got = held["rows"]
-                out.append((media, held["batch"], got[0][0], got[-1][1], len(got), "\n".join(x[2] for x in got)))
-                held = {"batch": held["batch"] + 1, "begin": float(r["end"]), "rows": []}
+                give(float(r["end"]))
+        if any(r["text"] is None for r in rows):
+            give(None)
         return out, held
 
     return _stateful(df, step, f"{key} {dict(df.dtypes)[key]}, batch int, start double, end double, n int, text string", key)
