@@ -1,18 +1,25 @@
 """URL filter: path rules, then host word segmentation and multinomial naive Bayes.
 
 Rules decide where one fits (the longest wins). For the other urls, a unigram Viterbi search splits the concatenated
-names of host and path into words of a lexicon and unknown pieces, and naive Bayes scores the words. Both models are
+names of host and path into words and unknown pieces, and naive Bayes scores the words and pieces. Both models are
 counted from all urls of the table:
 
-* the unigram counts are how often each lexicon word stands alone between separators;
+* the vocabulary holds the letter tokens that stand alone between separators in the urls of at least ``MIN_HOSTS`` hosts
+  (the ``MAX_WORDS`` most widespread, of at most ``LONGEST`` letters), with that number of hosts as their count, and the
+  seed words. A name that only its own host bears is no word, so it is split;
 * a url that holds a seed word of the block list between separators is a block example, one without any even after
-  segmentation an allow example; the words of the segmented examples, hashed to ``BUCKETS`` features, make the class counts. Each seed word
-  counts once more in its class, so that a table without it still has an opinion.
-
-So what reaches the driver is bounded by the lexicon and by two rows of ``BUCKETS``.
-
-A null url, or one without ``://``, has an empty host and path and is scored on no words. Rows stay one to one, null
-ids and repeated rows too; other columns are left behind.
+  segmentation an allow example; a block word inside a longer name makes it neither. A block example counts once for each
+  of its seed words, with that one hidden: what stands beside a seed word makes the class, not the seed word itself, which
+  only counts where it stands beside others. Each seed word counts once more in its class, so that a table without it
+  still has an opinion;
+* the features are words, ``#`` for numbers, and unknown pieces, hashed to ``BUCKETS``. A feature that no example holds
+  says nothing.
+
+What reaches the driver is at most ``MAX_WORDS`` words and two rows of ``BUCKETS``.
+
+A null url, or one without ``://``, has an empty host and path and is scored on no words: it is allowed. Names have no
+bound on their length. Rows stay one to one, null ids and repeated rows too; an empty table gives an empty result; other
+columns are left behind.
 """
 
 from __future__ import annotations
@@ -27,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-BUCKETS = 4096
+BUCKETS = 1 << 16
 #: Added to each class count.
 SMOOTHING = 0.05
+#: Hosts that a word of the vocabulary stands in, the number of words, and their length.
+MIN_HOSTS, MAX_WORDS, LONGEST = 3, 50_000, 24
 
 #: Words of names that a text corpus does without.
 BLOCK_WORDS = """ad ads adult affiliate bet bets betting bingo bonus casino cheap click clicks cracked dating discount
@@ -42,8 +51,7 @@ magazine mail maps media museum music nature news notes online open page paper p
 recipes research review science school shop site society sport sports stories story studio tech times travel university
 video web weather wiki work world www""".split()
 
-LEXICON = frozenset(BLOCK_WORDS) | frozenset(ALLOW_WORDS)
-LONGEST = max(map(len, LEXICON))
+SEEDS = frozenset(BLOCK_WORDS) | frozenset(ALLOW_WORDS)
 TOKEN = re.compile(r"[a-z]+|[0-9]+")
 SEPARATORS = r"[^a-z0-9]+"
 
@@ -84,11 +92,13 @@ class Rules:
 
 
 class Segmenter:
-    """Unigram Viterbi over lexicon words and unknown pieces."""
+    """Unigram Viterbi over the words of the vocabulary and unknown pieces."""
 
     def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + len(LEXICON)
-        self.cost = {w: -math.log((counts.get(w, 0) + 1) / total) for w in LEXICON}
+        words = SEEDS | counts.keys()
+        total = sum(counts.values()) + len(words)
+        self.cost = {w: -math.log((counts.get(w, 0) + 1) / total) for w in words}
+        self.longest = max(map(len, words))
         self.start = math.log(total) + 2.0  # an unknown piece costs more than any word
         self.letter = 1.5
         self.known: dict[str, list[str]] = {}
@@ -111,19 +121,19 @@ class Segmenter:
             fresh, on = best[i - 1] + self.start + self.letter, open_[i - 1] + self.letter
             open_[i], begun[i] = (fresh, i - 1) if fresh <= on else (on, begun[i - 1])
             best[i], back[i] = open_[i], (begun[i], False)
-            for k in range(1, min(LONGEST, i) + 1):
+            for k in range(1, min(self.longest, i) + 1):
                 c = self.cost.get(name[i - k : i])
                 if c is not None and best[i - k] + c < best[i]:
                     best[i], back[i] = best[i - k] + c, (i - k, True)
         out, i = [], n
         while i:
             j, word = back[i]
-            out.append(name[j:i] if word else "?")
+            out.append(name[j:i] if word else "?" + name[j:i])
             i = j
         return out[::-1]
 
     def tokens(self, host: str, path: str) -> list[str]:
-        """Words of host and path, numbers as ``#``; the last host label (the zone) is no word of the name."""
+        """Words of host and path, unknown pieces after a ``?``, numbers as ``#``; the last host label (the zone) is no word."""
         name = host.rpartition(".")[0] or host
         return [w for text in (name, path.lower()) for t in TOKEN.findall(text) for w in (["#"] if t[0] <= "9" else self(t))]
 
@@ -132,22 +142,33 @@ def bucket(word: str) -> int:
     return xxh3_64_intdigest(word) % BUCKETS
 
 
-def is_block_example(host: str, path: str) -> bool:
-    return any(t in _BLOCK for t in re.split(SEPARATORS, f"{host} {path.lower()}"))
+def seed_words(host: str, path: str) -> set[str]:
+    """Block words that stand alone between separators."""
+    return _BLOCK.intersection(re.split(SEPARATORS, f"{host} {path.lower()}"))
 
 
 _BLOCK = frozenset(BLOCK_WORDS)
 
 
-def lexicon_counts(urls: DataFrame) -> dict[str, int]:
-    """How often each lexicon word stands alone; at most one row for each word of the lexicon comes back."""
-    tokens = urls.select(F.explode(F.split(F.lower(F.concat_ws(" ", "host", "path")), SEPARATORS)).alias("word"))
-    rows = tokens.where(F.col("word").isin(*sorted(LEXICON))).groupBy("word").count().collect()
-    return {r["word"]: r["count"] for r in rows}
+def vocabulary(urls: DataFrame) -> dict[str, int]:
+    """Hosts by word, over all urls: distinct (word, host) pairs are counted, after a map-side combine."""
+    tokens = urls.select("host", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "host", "path")), SEPARATORS))).alias("word"))
+    spread = tokens.where(F.col("word").rlike(f"^[a-z]{{2,{LONGEST}}}$")).groupBy("word", "host").agg(F.lit(1).alias("one")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rows = spread.where(F.col("n") >= MIN_HOSTS).orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()
+    return {r["word"]: r["n"] for r in rows}
+
+
+def examples(segment: Segmenter, host: str, path: str) -> list[tuple[int, list[str]]]:
+    """(class, words) of what a url teaches."""
+    words = segment.tokens(host, path)
+    seeds = seed_words(host, path)
+    if seeds:
+        return [(1, [w for w in words if w != hidden]) for hidden in sorted(seeds)]
+    return [] if not _BLOCK.isdisjoint(words) else [(0, words)]
 
 
 def class_counts(urls: DataFrame, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word counts by class and bucket, and urls by class."""
+    """Word counts by class and bucket, and examples by class."""
     state: dict[str, Segmenter] = {}
 
     def run(batches):
@@ -155,36 +176,33 @@ def class_counts(urls: DataFrame, counts: dict[str, int]) -> tuple[np.ndarray, n
         total: Counter = Counter()
         for batch in batches:
             for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = segment.tokens(host, path)
-                k = int(is_block_example(host, path))
-                if not k and not _BLOCK.isdisjoint(found):
-                    continue  # a block word inside a longer name: an example of neither
-                total[k, -1] += 1
-                for word in found:
-                    total[k, bucket(word)] += 1
+                for kind, found in examples(segment, host, path):
+                    total[kind, -1] += 1
+                    for word in found:
+                        total[kind, bucket(word)] += 1
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([b for _, b in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64())], names=["kind", "bucket", "n"])
 
     rows = urls.select("host", "path").mapInArrow(run, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).collect()
-    words, examples = np.zeros((2, BUCKETS)), np.zeros(2)
+    words, seen = np.zeros((2, BUCKETS)), np.zeros(2)
     for r in rows:
         if r["bucket"] < 0:
-            examples[r["kind"]] = r["n"]
+            seen[r["kind"]] = r["n"]
         else:
             words[r["kind"], r["bucket"]] = r["n"]
-    return words, examples
+    return words, seen
 
 
 def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, words array<string>, block_odds double): log odds of naive Bayes, above 0 blocks."""
     urls = with_host_and_path(df, id_col, url_col)
-    counts = lexicon_counts(urls)
-    words, examples = class_counts(urls, counts)
+    counts = vocabulary(urls)
+    words, seen = class_counts(urls, counts)
     for kind, seeds in enumerate((ALLOW_WORDS, BLOCK_WORDS)):
         np.add.at(words[kind], [bucket(w) for w in seeds], 1)
     smooth = (words + SMOOTHING) / (words + SMOOTHING).sum(axis=1, keepdims=True)
-    weight = np.log(smooth[1]) - np.log(smooth[0])
-    prior = math.log((examples[1] + 1) / (examples[0] + 1))
+    weight = np.where(words.any(axis=0), np.log(smooth[1]) - np.log(smooth[0]), 0.0)
+    prior = math.log((seen[1] + 1) / (seen[0] + 1))
     state: dict[str, object] = {}
 
     def run(batches):
