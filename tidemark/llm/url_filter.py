@@ -200,8 +200,10 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "
     words, seen = class_counts(urls, counts)
     for kind, seeds in enumerate((ALLOW_WORDS, BLOCK_WORDS)):
         np.add.at(words[kind], [bucket(w) for w in seeds], 1)
-    smooth = (words + SMOOTHING) / (words + SMOOTHING).sum(axis=1, keepdims=True)
-    weight = np.where(words.any(axis=0), np.log(smooth[1]) - np.log(smooth[0]), 0.0)
+    held = words.any(axis=0)
+    smooth = (words[:, held] + SMOOTHING) / (words[:, held] + SMOOTHING).sum(axis=1, keepdims=True)
+    weight = np.zeros(BUCKETS)
+    weight[held] = np.log(smooth[1]) - np.log(smooth[0])
     prior = math.log((seen[1] + 1) / (seen[0] + 1))
     state: dict[str, object] = {}
 
