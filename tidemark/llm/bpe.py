@@ -32,13 +32,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, file)))}
 
 
-def _ids(texts: list[list[str]], number: dict[str, int], sizes: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+def _ids(words: np.ndarray, counts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> pa.ListArray:
     """The ids of each text, from the ids of each pre-token."""
-    counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    at = np.fromiter((number[w] for words in texts for w in words), dtype=np.int64, count=int(counts.sum()))
-    own = sizes[at]
+    own = sizes[words]
     ends = np.concatenate([[0], np.cumsum(own)])
-    return list_array(ids[spread((np.cumsum(sizes) - sizes)[at], own)], np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]))
+    return list_array(ids[spread((np.cumsum(sizes) - sizes)[words], own)], np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]))
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
@@ -56,8 +54,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
         table = kept(name, lambda: PairTable.from_ranks(shared.value))
         return replay([w.encode("utf-8", "surrogatepass") for w in words], table)
 
-    def made(batch: pa.RecordBatch, texts: list[list[str]], number: dict[str, int], sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        found = [batch.column(0), _ids(texts, number, sizes, ids), *(batch.column(batch.schema.get_field_index(c)) for c in along)]
+    def made(batch: pa.RecordBatch, words: np.ndarray, counts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        found = [batch.column(0), _ids(words, counts, sizes, ids), *(batch.column(batch.schema.get_field_index(c)) for c in along)]
         return pa.RecordBatch.from_arrays(found, names=["doc_id", "ids", *along])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *(rows.schema[c] for c in along)])

@@ -102,28 +102,39 @@ class Corpus:
         return words.repartition(n_parts, "part").mapInArrow(work_out, "slice long, part long, packet binary")
 
     def joined(self, values: DataFrame, split: Callable[[], Callable[[str], list[str]]], made: Callable[..., pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
-        """``made(rows, pre-tokens of each row, number of each pre-token, sizes, ids)`` over the rows of each slice."""
+        """``made(rows, pre-tokens of each row one after another, how many each row has, sizes, ids)`` over the rows of each
+        slice; a pre-token is its number, which ``sizes`` and ``ids`` (all ids of all pre-tokens) follow."""
         n_parts = self.n_parts
 
         def run(rows: pa.Table, found: pa.Table) -> pa.Table:
             cut = split()
-            batches = list(_texts(rows["packet"]))
-            texts = [[cut(t) if t else [] for t in b.column(b.schema.get_field_index("text")).to_pylist()] for b in batches]
-            parts = in_parts({w for own in texts for words in own for w in words}, n_parts)
-            packets = dict(zip(found["part"].to_pylist(), found["packet"].to_pylist()))
+            local: dict[str, int] = {}  # by first appearance; a text's own strings are let go at once
+            number = local.setdefault
+            batches, numbers, counts = list(_texts(rows["packet"])), [], []
+            for batch in batches:
+                own, size = [np.zeros(0, dtype=np.int32)], np.zeros(batch.num_rows, dtype=np.int64)
+                for i, text in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist()):
+                    words = cut(text) if text else ()
+                    size[i] = len(words)
+                    own.append(np.fromiter((number(w, len(local)) for w in words), dtype=np.int32, count=len(words)))
+                numbers.append(np.concatenate(own))
+                counts.append(size)
+            parts = in_parts(local.keys(), n_parts)
+            packets = dict(zip(found["part"].to_pylist(), found["packet"]))
             sizes, ids = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
             for part in parts:
-                (lot,) = unpacked([pa.scalar(packets[part], pa.binary())])
+                (lot,) = unpacked([packets[part]])
                 sizes.append(lot.column(0).values.to_numpy().astype(np.int64))
                 ids.append(lot.column(1).values.to_numpy().astype(np.int32))
-            number = {w: i for i, w in enumerate(w for own in parts.values() for w in own)}
+            place = np.zeros(len(local), dtype=np.int64)
+            place[np.fromiter((local[w] for own in parts.values() for w in own), dtype=np.int64, count=len(local))] = np.arange(len(local))
             sizes, ids = np.concatenate(sizes), np.concatenate(ids)
-            return pa.Table.from_batches([made(batch, own, number, sizes, ids) for batch, own in zip(batches, texts)])
+            return pa.Table.from_batches([made(batch, place[own], size, sizes, ids) for batch, own, size in zip(batches, numbers, counts)])
 
         return self.packets.groupBy("slice").cogroup(values.groupBy("slice")).applyInArrow(run, schema)
 
 
-def in_parts(words: set[str], n_parts: int) -> dict[int, list[str]]:
+def in_parts(words: Iterable[str], n_parts: int) -> dict[int, list[str]]:
     """Words by part, each part and the parts in order, so that either side of an exchange numbers them alike."""
     parts: dict[int, list[str]] = {}
     for word in sorted(words):

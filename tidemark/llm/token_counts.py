@@ -66,15 +66,13 @@ def count_tokens(df: DataFrame, definition: str, pattern: str, limit: int = 512,
         table = kept("pairs " + name, lambda: PairTable.from_definition(shared.value))
         return replay([w.encode("utf-8", "surrogatepass") for w in words], table)
 
-    def made(batch: pa.RecordBatch, texts: list[list[str]], number: dict[str, int], sizes: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
+    def made(batch: pa.RecordBatch, word: np.ndarray, counts: np.ndarray, sizes: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
         marks = splitter().marks
         n_tokens = np.fromiter((marks(t) if t else 0 for t in batch.column(1).to_pylist()), dtype=np.int64, count=batch.num_rows)
-        counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        word = np.fromiter((number[w] for words in texts for w in words), dtype=np.int64, count=int(counts.sum()))
-        pair, times = np.unique(np.repeat(np.arange(len(texts)), counts) * (len(number) + 1) + word, return_counts=True)
-        row, word = np.divmod(pair, len(number) + 1)  # (document, pre-token) with its frequency
+        pair, times = np.unique(np.repeat(np.arange(len(counts)), counts) * (len(sizes) + 1) + word, return_counts=True)
+        row, word = np.divmod(pair, len(sizes) + 1)  # (document, pre-token) with its frequency
         if len(row):
-            n_tokens += np.bincount(row, weights=times * sizes[word], minlength=len(texts)).astype(np.int64)
+            n_tokens += np.bincount(row, weights=times * sizes[word], minlength=len(counts)).astype(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), sizes_of(batch), pa.array(n_tokens), pa.array(n_tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     words = lambda: splitter().words
