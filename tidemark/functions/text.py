@@ -152,6 +152,33 @@ def dominant_phrase(text: Column) -> Column:
     return F.when(hit, F.struct(top["phrase"].alias("phrase"), top["n"].alias("count"), F.size(parts).alias("parts")))
 
 
+def sanitized(text: Column) -> Column:
+    """struct(text, reason): the text without protocol marks; where one short phrase fills it, nothing but that as reason."""
+    clean = without_protocol(text)
+    fills = dominant_phrase(clean)
+    reason = F.when(fills.isNotNull(), F.format_string("%s x %d of %d", fills["phrase"], fills["count"], fills["parts"]))
+    return F.struct(F.when(reason.isNotNull(), "").otherwise(clean).alias("text"), reason.alias("reason"))
+
+
+def outer_object(reply: Column) -> Column:
+    """From the first opening brace to the last closing one, thinking marks left out; a reply without such a span as it is."""
+    bare = F.regexp_replace(reply, "</?think>", "")
+    span = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    return F.when(span != "", span).otherwise(bare)
+
+
+#: Beginnings of a recogniser's own log lines.
+LOG_MARKS = ("whisper_", "ggml_", "main:", "system_info")
+
+
+def caption(line: Column) -> Column:
+    """The text of a stamped line, or a line that isn't a log line; else the empty text."""
+    flat = F.regexp_replace(F.coalesce(line, F.lit("")), r"\A\s+|\s+\z", "")
+    stamped = r"\A\[[^\]]+\]\s*"
+    log = flat.rlike(r"\A(?:" + "|".join(LOG_MARKS) + ")")
+    return F.when(flat.rlike(stamped), F.regexp_replace(flat, stamped, "")).when(log, "").otherwise(flat)
+
+
 @F.pandas_udf(T.StringType())
 def html_unescaped(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")

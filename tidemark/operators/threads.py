@@ -89,3 +89,22 @@ def local_times(epoch, zone: str = "Asia/Shanghai"):
     """(date and time, date) of epoch seconds as strings in a zone."""
     at = F.from_utc_timestamp(F.timestamp_seconds(epoch), zone)
     return F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.date_format(at, "yyyy-MM-dd")
+
+
+REPLY = "struct<rpid:string,rpid_str:string,parent:string,parent_str:string,mid:string,ctime:bigint,like:bigint,rcount:bigint,count:bigint,member:struct<mid:string,uname:string>,content:struct<message:string>>"
+
+
+def comment_rows(df: DataFrame, root: str = "root_rpid", content: str = "content", zone: str = "Asia/Shanghai") -> DataFrame:
+    """df with the columns of a flat comment, of a nested reply as JSON. Of ids, the first that isn't empty counts, the given
+    root before the reply's own; missing texts are empty, missing numbers 0. A reply that can't be read is all empty."""
+    first = lambda *names: F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names], F.lit(""))
+    number = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit(0)) for n in names], F.lit(0))
+    moment, day = local_times(F.col("_r.ctime"), zone)
+    dated = lambda c: F.when(number("_r.ctime") != 0, c).otherwise("")
+    made = {
+        "root_rpid": first(root, "_r.rpid_str", "_r.rpid"), "parent_rpid": first("_r.parent_str", "_r.parent"), "rpid": first("_r.rpid_str", "_r.rpid"),
+        "author_mid": first("_r.member.mid", "_r.mid"), "author_name": first("_r.member.uname"), "like": number("_r.like"), "reply_count": number("_r.rcount", "_r.count"),
+        "ctime": number("_r.ctime"), "send_date": dated(day), "send_datetime": dated(moment), "message": clean_message(first("_r.content.message")),
+    }
+    rows = df.withColumn("_r", F.from_json(content, REPLY))
+    return rows.select(*[c for c in df.columns if c not in made and c != content], *[c.alias(n) for n, c in made.items()])

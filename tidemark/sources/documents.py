@@ -94,3 +94,11 @@ def read_comments_csv(spark: SparkSession, path: str) -> DataFrame:
     """The columns as text, with line ends inside messages; missing values are empty."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
     return rows.na.fill("")
+
+
+def evidence_lines(df: DataFrame, label: str = "证据", key: str = "media_id") -> DataFrame:
+    """(key, document): rows in order of pos as numbered lines with minutes and seconds, hours counted as minutes."""
+    minutes = lambda r, c: F.format_string("%02d:%02d", F.floor(F.greatest(F.lit(0.0), r[c]) / 60).cast("long"), F.floor(F.greatest(F.lit(0.0), r[c]) % 60).cast("long"))
+    rows = F.array_sort(F.collect_list(F.struct("pos", "start", "end", "text")))
+    line = F.transform("rows", lambda r, i: F.concat(F.lit(f"[{label}"), (i + 1).cast("string"), F.lit(" "), minutes(r, "start"), F.lit("-"), minutes(r, "end"), F.lit("] "), F.coalesce(r["text"], F.lit(""))))
+    return df.groupBy(key).agg(rows.alias("rows")).select(key, F.array_join(line, "\n").alias("document"))
