@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 import unicodedata
 
@@ -218,3 +219,25 @@ def character_map(text: str) -> tuple[list[str], list[int]]:
 @F.pandas_udf(T.StructType().add("chars", T.ArrayType(T.StringType())).add("places", T.ArrayType(T.IntegerType())))
 def characters(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([character_map(t or "") for t in text], columns=["chars", "places"])
+
+
+@F.pandas_udf(T.StringType())
+def text_leaves(content: pd.Series) -> pd.Series:
+    """The texts of all objects of type text in a JSON reply (of its steps, where it has them), a line each, in order.
+    What isn't JSON, and null, has none."""
+
+    def leaves(raw):
+        try:
+            whole = json.loads(raw) if raw else None
+        except ValueError:
+            return ""
+        open_, told = [whole.get("steps", whole) if isinstance(whole, dict) else whole], []
+        while open_:
+            node = open_.pop()
+            if isinstance(node, dict) and node.get("type") == "text" and isinstance(node.get("text"), str):
+                told.append(node["text"])
+            elif isinstance(node, (dict, list)):
+                open_ += reversed(node if isinstance(node, list) else list(node.values()))
+        return "\n".join(told).strip()
+
+    return content.map(leaves, na_action=None).astype("object")

@@ -77,20 +77,36 @@ def status(uncovered: Column, suspicious: Column, warnings: Column) -> Column:
     return F.when((uncovered > 0) | (suspicious > 0), "incomplete_speech_coverage").when(warnings > 0, "passed_with_warnings").otherwise("passed")
 
 
-def audit(segments: DataFrame, speech: DataFrame, words: DataFrame | None = None, lone_whole: bool = False) -> DataFrame:
-    """(media_id, speech_coverage, uncovered, suspicious, status): region counts after merging, one row a media."""
-    findings = row_findings(segments).unionByName(order_findings(segments)).unionByName(global_repetition(segments)).unionByName(local_repetition(segments))
-    if words is not None:
-        findings = findings.unionByName(span_mismatch(segments, words)).unionByName(low_confidence(words))
-    suspicious = iv.merge_regions(findings, guard=0.0).groupBy(KEY).agg(F.count(F.lit(1)).alias("suspicious"))
+def findings(segments: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """All suspicious regions with their reasons, before they are merged."""
+    found = row_findings(segments).unionByName(order_findings(segments)).unionByName(global_repetition(segments)).unionByName(local_repetition(segments))
+    return found if words is None else found.unionByName(span_mismatch(segments, words)).unionByName(low_confidence(words))
+
+
+def audit_regions(segments: DataFrame, speech: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """(media_id, kind, region, start, end, reason): the merged regions that the audit counts."""
+    kinds = {"suspicious": findings(segments, words), "uncovered": uncovered_speech(speech, segments)}
+    one, two = (iv.merge_regions(rows, guard=0.0).withColumn("kind", F.lit(kind)) for kind, rows in kinds.items())
+    return one.unionByName(two).select(KEY, "kind", "region", "start", "end", "reason")
+
+
+def audit(segments: DataFrame, speech: DataFrame, words: DataFrame | None = None, lone_whole: bool = False, warnings: DataFrame | None = None) -> DataFrame:
+    """(media_id, speech_coverage, uncovered, suspicious, status): region counts after merging, one row a media.
+
+    ``warnings`` has a row (media_id) for each warning; they tell only where no region is found.
+    """
+    suspicious = iv.merge_regions(findings(segments, words), guard=0.0).groupBy(KEY).agg(F.count(F.lit(1)).alias("suspicious"))
     open_ = iv.merge_regions(uncovered_speech(speech, segments, lone_whole=lone_whole), guard=0.0).groupBy(KEY).agg(F.count(F.lit(1)).alias("uncovered"))
     span = F.col("end") - F.col("start")
     cover = iv.covered_seconds(speech.select(KEY, "pos", "start", "end"), segments.where(F.trim("text") != ""), lone_whole=lone_whole)
     cover = cover.groupBy(KEY).agg(F.least(F.lit(1.0), F.when(F.sum(span) <= 0, 1.0).otherwise(F.sum("covered") / F.sum(span))).alias("c"))
     media = segments.select(KEY).unionByName(speech.select(KEY)).distinct()
     out = media.join(cover, KEY, "left").join(open_, KEY, "left").join(suspicious, KEY, "left")
-    u, s = F.coalesce("uncovered", F.lit(0)), F.coalesce("suspicious", F.lit(0))
-    return out.select(KEY, F.coalesce("c", F.lit(1.0)).alias("speech_coverage"), u.alias("uncovered"), s.alias("suspicious"), status(u, s, F.lit(0)).alias("status"))
+    u, s, w = F.coalesce("uncovered", F.lit(0)), F.coalesce("suspicious", F.lit(0)), F.lit(0)
+    if warnings is not None:
+        out = out.join(warnings.groupBy(KEY).agg(F.count(F.lit(1)).alias("_warned")), KEY, "left")
+        w = F.coalesce("_warned", F.lit(0))
+    return out.select(KEY, F.coalesce("c", F.lit(1.0)).alias("speech_coverage"), u.alias("uncovered"), s.alias("suspicious"), status(u, s, w).alias("status"))
 
 
 def table_issue(df: DataFrame, rows: int = 20, many: int = 40) -> DataFrame:
@@ -130,6 +146,16 @@ def text_score(df: DataFrame) -> DataFrame:
     return rows.groupBy(KEY).agg(F.struct((-F.sum(F.length(flat) - F.length(F.replace(flat, F.lit("�"), F.lit(""))))).alias("damage"), (-F.sum(F.coalesce("_same", F.lit(0)))).alias("repeats"), F.sum(F.length(flat)).alias("chars")).alias("score"))
 
 
+def better_of(rows: DataFrame, review: DataFrame, bad: DataFrame | None = None) -> DataFrame:
+    """The review's rows for media where it scores as well or better, the rows elsewhere. ``bad`` (media_id): reviews that no
+    score saves. A media that only one side has keeps that side's rows, but for a bad review."""
+    if bad is not None:
+        review = review.join(bad.select(KEY).distinct(), KEY, "left_anti")
+    both = text_score(rows).join(text_score(review).withColumnRenamed("score", "_new"), KEY, "full")
+    adopted = both.where("score is null or _new >= score").select(KEY)
+    return rows.join(adopted, KEY, "left_anti").unionByName(review.join(adopted, KEY, "left_semi"))
+
+
 def pinned_language(df: DataFrame, threshold: float = 0.65, speech: float = 30.0) -> DataFrame:
     """(media_id, language): the first observation (by pos) that is sure enough, or made after enough speech.
 

@@ -117,3 +117,14 @@ def fusion_confidence(matched_words: Column, words: Column, matched_chars: Colum
     """0.4 of the share of characters and 0.6 of that of words; without words at most 0.3, without characters 1."""
     share = matched_chars / F.nullif(chars, F.lit(0))
     return F.when(chars == 0, 1.0).when(words == 0, F.least(share, F.lit(0.3))).otherwise(0.4 * share + 0.6 * matched_words / F.nullif(words, F.lit(0)))
+
+
+def filled_times(df: DataFrame, time: str = "t", key: str = KEY) -> DataFrame:
+    """df with the times that are null laid evenly between those beside them in order of pos; before the first and after the
+    last they are those. A media without times keeps its nulls."""
+    by = Window.partitionBy(key).orderBy("pos")
+    known = F.when(F.col(time).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(time).alias("t")))
+    rows = df.withColumn("_a", F.last(known, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_b", F.first(known, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    between = F.col("_a.t") + (F.col("_b.t") - F.col("_a.t")) * ((F.col("pos") - F.col("_a.p")) / F.nullif(F.col("_b.p") - F.col("_a.p"), F.lit(0)))
+    return rows.withColumn(time, F.coalesce(time, between, "_a.t", "_b.t")).drop("_a", "_b")

@@ -63,3 +63,9 @@ def refreshed_status(status: Column, path: Column, exists: Column) -> Column:
     """A ready entry whose file is gone is pruned; an unknown status failed."""
     known = F.when(status.isin("queued", "running", "ready", "failed", "audio_cache_pruned"), status).otherwise("failed")
     return F.when((known == "ready") & (F.coalesce(path, F.lit("")) != "") & ~F.coalesce(exists, F.lit(False)), "audio_cache_pruned").otherwise(known)
+
+
+def newest(df: DataFrame, n: int, modified: str, *ties: str, keys: list[str]) -> DataFrame:
+    """df with ``place``: the ``n`` latest rows of each group, later ties first; rows without a time come last."""
+    by = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(modified), *[F.desc(t) for t in ties])
+    return df.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n)

@@ -1,3 +1,3 @@
 """Queries over the driver's tables. Importing this package registers them all."""
 
-from . import audits, chunked, evidenced, folded, intervals, reread, retrievals, tables, texts  # noqa: F401
+from . import audits, chunked, evidenced, folded, intervals, repaired, reread, retrievals, tables, texts  # noqa: F401

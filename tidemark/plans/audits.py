@@ -121,7 +121,13 @@ def audit_coverage(spark, d):
 @register()
 def audit_report(spark, d):
     s = views.segments(spark, d)
-    return au.audit(s, s.where("pos % 2 = 0").withColumn("end", F.col("end") + 1.0))
+    return au.audit(s, s.withColumn("end", F.col("end") + 1.0), warnings=s.where("length(text) > 100"))
+
+
+@register()
+def audit_regions(spark, d):
+    s = views.segments(spark, d)
+    return au.audit_regions(s, s.withColumn("end", F.col("end") + 1.0))
 
 
 @register(f"""

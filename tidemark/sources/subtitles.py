@@ -93,3 +93,19 @@ def silence_log(df: DataFrame) -> DataFrame:
     closed = rows.where(~F.col("opens")).select("path", F.col("i").alias("pos"), F.when(F.col("was"), F.col("before")).otherwise(0.0).alias("start"), F.col("t").alias("end"))
     left_open = rows.where(F.col("opens") & F.col("next").isNull()).select("path", F.col("i").alias("pos"), F.col("t").alias("start"), F.col("duration").alias("end"))
     return closed.unionByName(left_open)
+
+
+def raw_blocks(df: DataFrame) -> DataFrame:
+    """(path, number, start_stamp, end_stamp, text): numbered blocks as they stand, stamps as text; a blank line ends a block,
+    and blocks without text go."""
+    block = rf"(?m)^[ \t]*(\d+)[ \t]*\n({STAMP}) --> ({STAMP})[^\n]*\n((?:[^\n]*\S[^\n]*(?:\n|\z))+)"
+    found = F.explode(F.regexp_extract_all(F.regexp_replace("content", r"\r\n?", "\n"), F.lit(block), F.lit(0)))
+    part = lambda i: F.regexp_extract("b", block, i)
+    return df.select("path", found.alias("b")).select("path", part(1).cast("int").alias("number"), part(2).alias("start_stamp"), part(3).alias("end_stamp"), F.regexp_replace(part(4), r"\A\s+|\s+\z", "").alias("text"))
+
+
+def first_usable(rows: DataFrame, folder: str = "folder") -> DataFrame:
+    """Of the files of a folder, the rows of the first by name that has any with text and a span; texts single-spaced."""
+    good = rows.where("end > start").withColumn("text", tx.single_spaced(F.col("text"))).where("text <> ''")
+    first = good.groupBy(folder).agg(F.min("path").alias("path"))
+    return good.join(first, [folder, "path"], "left_semi")
