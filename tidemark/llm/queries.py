@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed_dedup, line_dedup, minhash, pii, substring_dedup, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, embed_dedup, line_dedup, minhash, pii, substring_dedup, telephony, token_counts, toxicity, url_filter
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,14 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = telephony.read_back(telephony.stored(read_table(spark, sf_dir, "documents")), carried=("doc_id", "n_bytes"))
+    size = lambda name: F.octet_length(name).cast("long")
+    tail = F.crc32(F.expr("substring(payload, -32, 32)"))
+    return found.select("doc_id", "n_bytes", size("payload").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), size("media").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", size("pcm").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))
+
+
 ORACLES["op2_substring_dedup"] = r"""
 with words as (
   select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
