@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed_dedup, line_dedup, minhash, pii, substring_dedup, telephony, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, embed_dedup, line_dedup, minhash, pii, substring_dedup, telephony, token_alignment, token_counts, toxicity, url_filter
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,15 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    return token_alignment.Alignment(read_table(spark, sf_dir, "documents"), definition, public_tokenizers.PATTERN, model).documents()
+
+
 @query
 def op12_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = telephony.read_back(telephony.stored(read_table(spark, sf_dir, "documents")), carried=("doc_id", "n_bytes"))
