@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed_dedup, line_dedup, minhash, pii, substring_dedup, telephony, token_alignment, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, embed_dedup, line_dedup, minhash, pii, spelling, substring_dedup, telephony, token_alignment, token_counts, toxicity, url_filter
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,11 @@ def op12_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", size("payload").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), size("media").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", size("pcm").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))
 
 
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(read_table(spark, sf_dir, "documents"))
+
+
 ORACLES["op2_substring_dedup"] = r"""
 with words as (
   select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
@@ -192,3 +197,37 @@ counts as (select a as vec_id, count(*) as n from links group by a)
 select e.vec_id, cast(coalesce(n, 0) as bigint) as n_links, least(e.vec_id, coalesce(low, e.vec_id)) as component_id, e.vec_id <= coalesce(low, e.vec_id) as kept
 from embeddings e left join counts using (vec_id) left join lows using (vec_id)
 """
+
+ORACLES["op13_spelling_variants"] = r"""
+with recursive bits as (
+  select i, 0 as k, i as c from range(256) t(i)
+  union all select i, k + 1, xor(c >> 1, (c & 1) * 3988292384) from bits where k < 8),
+crc as (select list(c order by i) as t from bits where k = 8),
+runs as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{5,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents where text is not null),
+times as (select doc_id, run, count(*) as n from runs group by doc_id, run),
+coded as (select doc_id, run, n, list_transform(string_split(coalesce(cast(doc_id as varchar), '') || ':' || run, ''), lambda c: cast(ord(c) as bigint)) as cs from times),
+hashed as (
+  select run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(cs, lambda c: case when c < 128 then [c] else [195, c - 64] end))),
+    lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1])), 4294967295) as h
+  from coded, crc),
+made as (
+  select case when h % 97 = 0 then substr(run, 1, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) as bigint) + 2) else run end as word, n from hashed),
+words as (select word, cast(sum(n) as bigint) as n from made where length(word) >= 5 group by word having sum(n) >= 3),
+holes as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as hole from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+pairs as (
+  select a.word as word, b.word as other, b.n as other_n from holes a join holes b on a.hole = b.hole and a.i = b.i and a.word <> b.word
+  union select words.word, holes.word, holes.n from words join holes on words.word = holes.hole
+  union select holes.word, words.word, words.n from words join holes on words.word = holes.hole),
+near as (select word, count(*) as n_near, max(other_n) as top from pairs group by word),
+forms as (
+  select words.word, words.n, n_near, top, (select min(other) from pairs where pairs.word = words.word and other_n = top) as other
+  from words left join near using (word)),
+formed as (select word, n, cast(coalesce(n_near, 0) as bigint) as n_near, case when top >= 2 * n then other end as form, case when top >= 2 * n then top end as form_n from forms),
+ways as (
+  select word, word as here, 0 as k from formed
+  union all select ways.word, form, k + 1 from ways join formed on formed.word = ways.here where form is not null)
+select formed.word, form, here as root, n, n_near, cast(form_n as bigint) as form_n
+from formed join (select word, arg_max(here, k) as here from ways group by word) using (word)
+"""
