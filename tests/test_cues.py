@@ -156,8 +156,10 @@ def test_proposed_breaks_and_reasons():
     text = "在某些城镇，随着该群体移民数量的增加，有的人就视为提出要推行穆斯林律法，增加议会席位。"
     b = cu.Breaks([line(text, [i * 0.14 for i in range(len(kept(text)))])])
     assert cu.checked(b, [28], 0, b.n, cu.Limits(10, 30, 6.5))[0][1] == "late"
-    assert cu.checked(b, [17], 0, b.n, cu.Limits(10, 30, 6.5)) == [(17, None)]
-    assert cu.checked(b, [17, b.n - 2], 0, b.n, cu.Limits(3, 40, 9.0, 9.0))[-1][1] in {"late", "past_mark", "short_rest"}
+    assert cu.checked(b, [17], 0, b.n, cu.Limits(10, 30, 6.5)) == [(17, "dangling")]
+    b = cu.Breaks([line("abcdefg，hijklmnop，qr", [i * 0.3 for i in range(18)])])
+    assert cu.checked(b, [7, 16], 0, b.n, cu.Limits(3, 40, 9.0, 9.0)) == [(7, None), (16, "short_rest")]
+    assert cu.checked(b, [7, 12], 0, b.n, cu.Limits(3, 40, 9.0, 9.0)) == [(7, None), (12, "few_characters")]
 
 
 def test_lines_of_a_media(spark):
