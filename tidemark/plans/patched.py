@@ -20,7 +20,7 @@ def _spots(rows, found: str):
 
 def _phrases(s, text):
     """Parts of each turn between marks, with the share of its time that their characters have: (media_id, pos, start, end, text)."""
-    parts = s.withColumn("parts", F.split(text, r"(?<=[.,\\n])", -1)).select("media_id", F.col("pos").alias("turn"), "start", "end", "parts", F.posexplode("parts").alias("i", "text"))
+    parts = s.withColumn("parts", F.split(text, r"(?<=[.,\n])", -1)).select("media_id", F.col("pos").alias("turn"), "start", "end", "parts", F.posexplode("parts").alias("i", "text"))
     ahead = lambda k: F.length(F.array_join(F.slice("parts", 1, k), ""))
     at = lambda k: F.col("start") + (F.col("end") - F.col("start")) * ahead(k) / ahead(F.size("parts"))
     return parts.where("trim(text) <> ''").select("media_id", (F.col("turn") * 10000 + F.col("i")).alias("pos"), at(F.col("i")).alias("start"), at(F.col("i") + 1).alias("end"), "text")
@@ -28,18 +28,18 @@ def _phrases(s, text):
 
 @register()
 def adjudicated_differences(spark, d):
-    """Each "en" of the turns is disputed, read as "ne" by another; the seen phrases have it so before some consonants."""
+    """Each "tion" of the turns is disputed, read as "shun" by another; the seen phrases have it so before some letters."""
     s = views.segments(spark, d)
     time = lambda at: F.col("start") + (F.col("end") - F.col("start")) * (at + 0.5) / F.col("n")
     place = F.col("left_start")
-    disputes = _spots(s, "en").select("media_id", (F.col("pos") * 10000 + F.col("k")).alias("index"), F.lit("replace").alias("operation"), place, (place + 2).alias("left_end"), place.alias("right_start"), (place + 2).alias("right_end"), F.lit("en").alias("left_text"), F.lit("ne").alias("right_text"), time(F.col("at")).alias("from_time"), time(F.col("at") + 1).alias("to_time"))
-    return pt.adjudicated(disputes, s, _phrases(s, F.regexp_replace("text", "en(?=[bcdfgt])", "ne")))
+    disputes = _spots(s, "tion").select("media_id", (F.col("pos") * 10000 + F.col("k")).alias("index"), F.lit("replace").alias("operation"), place, (place + 4).alias("left_end"), place.alias("right_start"), (place + 4).alias("right_end"), F.lit("tion").alias("left_text"), F.lit("shun").alias("right_text"), time(F.col("at")).alias("from_time"), time(F.col("at") + 3).alias("to_time"))
+    return pt.adjudicated(disputes, s, _phrases(s, F.regexp_replace("text", "tion(?=[a-m])", "shun")))
 
 
 @register(f"""
 with {views.SEGMENTS}
-select media_id, pos, regexp_replace(text, '[eE][^\p{{L}}\p{{N}}]*[aA]', 'oy', 'g') as text, cast(len(regexp_extract_all(text, '[eE][^\p{{L}}\p{{N}}]*[aA]')) as bigint) as n_applied
-from segments where regexp_matches(text, '[\p{{L}}\p{{N}}]')
+select media_id, pos, regexp_replace(text, '[eE][^\\p{{L}}\\p{{N}}]*[aA]', 'oy', 'g') as text, cast(len(regexp_extract_all(text, '[eE][^\\p{{L}}\\p{{N}}]*[aA]')) as bigint) as n_applied
+from segments where regexp_matches(text, '[\\p{{L}}\\p{{N}}]')
 """)
 def applied_edits(spark, d):
     """Each "ea" of the kept characters becomes "oy"; worse edits that overlap those change nothing."""
