@@ -67,8 +67,8 @@ def low_confidence(words: DataFrame, least: float = 0.35) -> DataFrame:
     return rows.select(KEY, "pos", "start", "end", F.lit("low word confidence").alias("reason"))
 
 
-def uncovered_speech(speech: DataFrame, segments: DataFrame, slack: float = 0.6, lone_whole: bool = False) -> DataFrame:
-    got = iv.covered_seconds(speech.select(KEY, "pos", "start", "end"), segments.where(F.trim("text") != ""), lone_whole=lone_whole)
+def uncovered_speech(speech: DataFrame, segments: DataFrame, slack: float = 0.6) -> DataFrame:
+    got = iv.covered_seconds(speech.select(KEY, "pos", "start", "end"), segments.where(F.trim("text") != ""))
     got = got.where(F.col("end") - F.col("start") - F.col("covered") > slack)
     return got.select(KEY, "pos", "start", "end", F.lit("unexplained speech").alias("reason"))
 
@@ -90,15 +90,15 @@ def audit_regions(segments: DataFrame, speech: DataFrame, words: DataFrame | Non
     return one.unionByName(two).select(KEY, "kind", "region", "start", "end", "reason")
 
 
-def audit(segments: DataFrame, speech: DataFrame, words: DataFrame | None = None, lone_whole: bool = False, warnings: DataFrame | None = None) -> DataFrame:
+def audit(segments: DataFrame, speech: DataFrame, words: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
     """(media_id, speech_coverage, uncovered, suspicious, status): region counts after merging, one row a media.
 
     ``warnings`` has a row (media_id) for each warning; they tell only where no region is found.
     """
     suspicious = iv.merge_regions(findings(segments, words), guard=0.0).groupBy(KEY).agg(F.count(F.lit(1)).alias("suspicious"))
-    open_ = iv.merge_regions(uncovered_speech(speech, segments, lone_whole=lone_whole), guard=0.0).groupBy(KEY).agg(F.count(F.lit(1)).alias("uncovered"))
+    open_ = iv.merge_regions(uncovered_speech(speech, segments), guard=0.0).groupBy(KEY).agg(F.count(F.lit(1)).alias("uncovered"))
     span = F.col("end") - F.col("start")
-    cover = iv.covered_seconds(speech.select(KEY, "pos", "start", "end"), segments.where(F.trim("text") != ""), lone_whole=lone_whole)
+    cover = iv.covered_seconds(speech.select(KEY, "pos", "start", "end"), segments.where(F.trim("text") != ""))
     cover = cover.groupBy(KEY).agg(F.least(F.lit(1.0), F.when(F.sum(span) <= 0, 1.0).otherwise(F.sum("covered") / F.sum(span))).alias("c"))
     media = segments.select(KEY).unionByName(speech.select(KEY)).distinct()
     out = media.join(cover, KEY, "left").join(open_, KEY, "left").join(suspicious, KEY, "left")

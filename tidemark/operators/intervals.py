@@ -86,12 +86,11 @@ def _moments(probes: DataFrame, rows: DataFrame, key: str, **values: tuple[Colum
     return asked.unionByName(rows.select(key, F.lit(None).cast(asked.schema["_probe"].dataType).alias("_probe"), *[value(o, n) for n, (_, o) in values.items()]))
 
 
-def covered_seconds(regions: DataFrame, rows: DataFrame, key: str = KEY, capped: bool = True, lone_whole: bool = False) -> DataFrame:
+def covered_seconds(regions: DataFrame, rows: DataFrame, key: str = KEY, capped: bool = True) -> DataFrame:
     """regions with ``covered``: the sum of overlaps of all rows, at most the region (overlapping rows count twice).
 
     Up to a moment t the rows cover: the number of open ones times t, less their starts, plus the spans of ended ones. Its
-    difference between a region's ends is what is covered. Rows and regions without length cover nothing. ``lone_whole``
-    is a reading of an earlier version: a region that no row overlaps counts as wholly covered.
+    difference between a region's ends is what is covered. Rows and regions without length cover nothing.
     """
     ends = lambda s, e: F.explode(F.array(F.struct(F.lit(1).alias("d"), s.alias("t")), F.struct(F.lit(-1).alias("d"), e.alias("t"))))
     sound = F.col("end") > F.col("start")
@@ -109,8 +108,6 @@ def covered_seconds(regions: DataFrame, rows: DataFrame, key: str = KEY, capped:
     out = sums.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).withColumn("_m", F.col("_c") / F.greatest(F.lit(1), F.max("_n").over(Window.partitionBy(key, "_r"))))
     covered = F.greatest(F.lit(0.0), F.col("_m"))
     out = out.select("_r.*", covered.alias("covered"))
-    if lone_whole:
-        out = out.withColumn("covered", F.when(F.col("covered") < 1e-6, F.col("end") - F.col("start")).otherwise(F.col("covered")))
     return out.withColumn("covered", F.least(F.col("covered"), F.greatest(F.lit(0.0), F.col("end") - F.col("start")))) if capped else out
 
 

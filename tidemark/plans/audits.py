@@ -99,10 +99,10 @@ def merged_adjacent(spark, d):
 
 @register(f"""
 with {views.SEGMENTS}, {FINDINGS},
-speech as (select media_id, pos, start, "end" + 1.0 as "end" from segments where pos % 2 = 0),
-spoken as (select * from segments where pos % 5 <> 3),
+speech as (select media_id, pos, start + 1.5 as start, "end" + 2.5 as "end" from segments),
+spoken as (select * from segments),
 sums as (
-  select r.media_id, r.pos, any_value(r."end" - r.start) as span, coalesce(sum(greatest(0.0, least(r."end", c."end") - greatest(r.start, c.start))), 0.0) as total
+  select r.media_id, r.pos, any_value(r."end" - r.start) as span, coalesce(sum(case when c.pos is null then 0.0 else greatest(0.0, least(r."end", c."end") - greatest(r.start, c.start)) end), 0.0) as total
   from speech r left join (select * from spoken where trim(text) <> '') c on r.media_id = c.media_id and c.start < r."end" and c."end" > r.start group by r.media_id, r.pos)
 select media_id, round(case when sum(span) <= 0 then 1.0 else least(1.0, sum(least(total, span)) / sum(span)) end, 6) as speech_coverage,
   case when sum(case when span - least(total, span) > 0.6 then 1 else 0 end) > 0 then 'incomplete_speech_coverage' else 'passed' end as status
@@ -110,10 +110,9 @@ from sums group by media_id
 """)
 def audit_coverage(spark, d):
     s = views.segments(spark, d)
-    speech = s.where("pos % 2 = 0").withColumn("end", F.col("end") + 1.0)
-    # the twin's least() and greatest() skip nulls, so speech without any segment counts as covered there
-    cover = au.uncovered_speech(speech, s.where("pos % 5 <> 3"), lone_whole=True).groupBy("media_id").agg(F.count(F.lit(1)).alias("open"))
-    report = au.audit(s.where("pos % 5 <> 3"), speech, lone_whole=True).where("media_id is not null").join(cover, "media_id", "left")
+    speech = s.withColumns({"start": F.col("start") + 1.5, "end": F.col("end") + 2.5})
+    cover = au.uncovered_speech(speech, s).groupBy("media_id").agg(F.count(F.lit(1)).alias("open"))
+    report = au.audit(s, speech).where("media_id is not null").join(cover, "media_id", "left")
     heard = speech.select("media_id").distinct()
     return report.join(heard, "media_id", "left_semi").select("media_id", F.round("speech_coverage", 6).alias("speech_coverage"), au.status(F.coalesce("open", F.lit(0)), F.lit(0), F.lit(0)).alias("status"))
 

@@ -66,7 +66,7 @@ cover as (select media_id, pos, start, "end" from intervals where label = 'click
 @register(f"""
 with {views.INTERVALS}, {COVER},
 sums as (
-  select r.media_id, r.pos, any_value(r."end" - r.start) as span, coalesce(sum(greatest(0.0, least(r."end", c."end") - greatest(r.start, c.start))), 0.0) as total
+  select r.media_id, r.pos, any_value(r."end" - r.start) as span, coalesce(sum(case when c.pos is null then 0.0 else greatest(0.0, least(r."end", c."end") - greatest(r.start, c.start)) end), 0.0) as total
   from regions r left join cover c on r.media_id = c.media_id and c.start < r."end" and c."end" > r.start group by r.media_id, r.pos)
 select media_id, count(*) as n_regions, sum(case when span - least(total, span) > 0.6 then 1 else 0 end)::bigint as uncovered,
   round(case when sum(span) <= 0 then 1.0 else least(1.0, sum(least(total, span)) / sum(span)) end, 6) as coverage
@@ -74,8 +74,7 @@ from sums group by media_id
 """)
 def coverage(spark, d):
     _, regions, rows = _views_only(spark, d)
-    # the twin's least() and greatest() skip nulls, so a region without any row counts as covered there; covered_regions has it right
-    got = iv.covered_seconds(regions.select("media_id", "pos", "start", "end"), rows, lone_whole=True)
+    got = iv.covered_seconds(regions.select("media_id", "pos", "start", "end"), rows)
     span = F.col("end") - F.col("start")
     return got.groupBy("media_id").agg(
         F.count(F.lit(1)).alias("n_regions"),
