@@ -50,7 +50,7 @@ def frames(spark, media):
 @pytest.mark.parametrize("block", [16, 256])
 def test_blocks(spark, media, monkeypatch, block):
     monkeypatch.setattr(pt, "BLOCK", block)
-    got = an.aligned_blocks(*frames(spark, media)).collect()
+    got = an.aligned_blocks(*map(an.held, frames(spark, media))).collect()
     for m, (left, right) in media.items():
         a, b = kept(left)[0], kept(right)[0]
         own = sorted((r["a"], r["b"], r["size"]) for r in got if r["media_id"] == m)
@@ -65,12 +65,13 @@ def test_equal_texts_and_texts_without_a_common_gram(spark):
     rows = [(1, 0, 0.0, 1.0, text, 1), (2, 0, 0.0, 1.0, "abc", 1), (3, 0, 0.0, 1.0, text, 1), (4, 0, 0.0, 1.0, "，", 1), (5, 0, 0.0, 1.0, "ab" * 40, 1)]
     other = [(1, 0, 0.0, 1.0, text, 1), (2, 0, 0.0, 1.0, "xbc", 1), (4, 0, 0.0, 1.0, "x", 1), (5, 0, 0.0, 1.0, "ab" * 40, 1)]
     left, right = spark.createDataFrame(rows, LINES), spark.createDataFrame(other, LINES)
-    found = an.aligned_blocks(left, right)
+    l, r = an.held(left), an.held(right)
+    found = an.aligned_blocks(l, r)
     n = len(text.replace(" ", ""))
     assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 0, n), (2, 1, 1, 2), (5, 0, 0, 80)]
-    stats = {r["media_id"]: tuple(r)[1:] for r in an.text_stats(left, right, found).collect()}
+    stats = {r["media_id"]: tuple(r)[1:] for r in an.text_stats(left.unionByName(right), l, r, found).collect()}
     assert stats[1] == (n, n, n, 1.0, 1.0, 1.0, 1.0) and stats[3] == (n, 0, 0, 0.0, 0.0, 0.0, 0.0) and stats[2][2] == 2 and stats[4] == (0, 1, 0, 0.0, 0.0, 0.0, 1.0)
-    assert an.aligned_blocks(left.where("false"), right).collect() == []
+    assert an.aligned_blocks(an.held(left.where("false")), r).collect() == []
 
 
 def test_chain_is_longest():
@@ -95,7 +96,7 @@ def test_timed_report(spark, media):
     durations = {m: both[0][-1][2] + 1 for m, both in media.items()} | {9: 50.0}
     told = an.timed_report(left, right, spark.createDataFrame(list(durations.items()), "media_id long, duration double"), chunk=20.0)
     report, chunks, spans = ({tuple(r)[: 1 + (k > 0)]: r for r in df.collect()} for k, df in enumerate(told))
-    found = an.aligned_blocks(left, right).collect()
+    found = an.aligned_blocks(an.held(left), an.held(right)).collect()
     for m, (l, r) in media.items():
         _, lt, _ = kept(l)
         _, rt, rc = kept(r)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import patches as pt
 from .align import blocks as matching_blocks
 
@@ -93,9 +94,14 @@ def _gap_blocks(frames):
         yield pd.DataFrame(out, columns=[frame.columns[0], "a", "b", "size"])
 
 
-def aligned_blocks(left: DataFrame, right: DataFrame, gram: int = 12, thin: int = 4, key: str = KEY) -> DataFrame:
-    """(key, a, b, size): equal stretches of kept characters of both tables of lines, in order, never crossing."""
-    l, r = pt.pieces(left, key), pt.pieces(right, key)
+def held(lines: DataFrame, key: str = KEY) -> DataFrame:
+    """The pieces of lines as a table; the steps below read it several times."""
+    return written(pt.pieces(lines, key), "pieces")
+
+
+def aligned_blocks(l: DataFrame, r: DataFrame, gram: int = 12, thin: int = 4, key: str = KEY) -> DataFrame:
+    """(key, a, b, size): equal stretches of kept characters of the texts that ``held`` gives of either side, in order,
+    never crossing."""
     size = lambda held, name: held.groupBy(key).agg(F.max(F.col("first") + F.size("chars")).alias(name))
     ends = size(l, "a").join(size(r, "b"), key)
     marks = anchors(l, r, gram, thin, key).withColumn("edge", F.lit(0))
@@ -105,6 +111,7 @@ def aligned_blocks(left: DataFrame, right: DataFrame, gram: int = 12, thin: int
     # On one diagonal the gram says that all up to the next place is equal; else the place itself and a gap behind it.
     run = (F.col("edge") == 0) & F.col("za").isNotNull() & (F.col("za") - F.col("a") == F.col("zb") - F.col("b")) & (F.col("za") - F.col("a") <= gram)
     steps = steps.withColumn("run", F.coalesce(run, F.lit(False)))
+    steps = written(steps, "steps")
     known = steps.where("edge = 0").select(key, "a", "b", F.when(F.col("run"), F.col("za") - F.col("a")).otherwise(1).cast("long").alias("size"))
     gaps = steps.where("not run and za is not null and za - a > 1 and zb - b > 1").select(key, F.struct("a", "b").alias("id"), (F.col("a") + 1).alias("a"), (F.col("b") + 1).alias("b"), "za", "zb")
     text = lambda held, low, high, name: pt.windows(gaps.select(key, "id", F.col(low).alias("low"), F.col(high).alias("high")), held, key).select(key, "id", F.array_join("chars", "").alias(name))
@@ -114,28 +121,27 @@ def aligned_blocks(left: DataFrame, right: DataFrame, gram: int = 12, thin: int
     order = Window.partitionBy(key).orderBy("a")
     new = F.coalesce((F.col("a") != F.lag(F.col("a") + F.col("size")).over(order)) | (F.col("b") != F.lag(F.col("b") + F.col("size")).over(order)), F.lit(True))
     rows = rows.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(key, "_run").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("size").alias("size")).drop("_run")
+    return written(rows.groupBy(key, "_run").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("size").alias("size")).drop("_run"), "blocks")
 
 
-def text_stats(left: DataFrame, right: DataFrame, found: DataFrame, key: str = KEY) -> DataFrame:
-    """(key, left_chars, right_chars, matched, coverage, precision, similarity, length_ratio) of each media of either side."""
-    size = lambda lines, name: pt.placed(lines, key).groupBy(key).agg(F.sum(F.size("chars").cast("long")).alias(name))
-    media = left.select(key).unionByName(right.select(key)).distinct()
-    rows = media.join(size(left, "left_chars"), key, "left").join(size(right, "right_chars"), key, "left").join(found.groupBy(key).agg(F.sum("size").alias("matched")), key, "left").fillna(0, ["left_chars", "right_chars", "matched"])
-    l, r, m = F.col("left_chars"), F.col("right_chars"), F.col("matched")
+def text_stats(media: DataFrame, l: DataFrame, r: DataFrame, found: DataFrame, key: str = KEY) -> DataFrame:
+    """(key, left_chars, right_chars, matched, coverage, precision, similarity, length_ratio) of each media."""
+    size = lambda pieces, name: pieces.groupBy(key).agg(F.sum(F.size("chars").cast("long")).alias(name))
+    rows = media.select(key).distinct().join(size(l, "left_chars"), key, "left").join(size(r, "right_chars"), key, "left").join(found.groupBy(key).agg(F.sum("size").alias("matched")), key, "left").fillna(0, ["left_chars", "right_chars", "matched"])
+    a, b, m = F.col("left_chars"), F.col("right_chars"), F.col("matched")
     share = lambda x, y: F.round(x / F.greatest(F.lit(1), y), 6)
-    return rows.select(key, l, r, m, share(m, l).alias("coverage"), share(m, r).alias("precision"), F.when(l + r == 0, 1.0).otherwise(F.round(2 * m / (l + r), 6)).alias("similarity"), share(r, l).alias("length_ratio"))
+    return rows.select(key, a, b, m, share(m, a).alias("coverage"), share(m, b).alias("precision"), F.when(a + b == 0, 1.0).otherwise(F.round(2 * m / (a + b), 6)).alias("similarity"), share(b, a).alias("length_ratio"))
 
 
-def matched_times(left: DataFrame, right: DataFrame, found: DataFrame, key: str = KEY) -> DataFrame:
+def matched_times(l: DataFrame, r: DataFrame, found: DataFrame, key: str = KEY) -> DataFrame:
     """(key, a, b, left_time, right_time) of each matched kept character."""
     cut = found.select(key, "a", "b", "size")
     cut = cut.withColumn("k", F.explode(F.sequence(F.floor(F.col("a") / pt.BLOCK), F.floor((F.col("a") + F.col("size") - 1) / pt.BLOCK))))
     low = F.greatest(F.col("k") * pt.BLOCK - F.col("a"), F.lit(0))
     high = F.least((F.col("k") + 1) * pt.BLOCK - F.col("a"), F.col("size"))
     cut = cut.select(key, F.struct(F.col("a") + low, F.col("b") + low).alias("id"), (F.col("a") + low).alias("a"), (F.col("b") + low).alias("b"), (high - low).alias("n"))
-    times = lambda lines, at, name: pt.windows(cut.select(key, "id", F.col(at).alias("low"), (F.col(at) + F.col("n")).alias("high")), pt.pieces(lines, key), key).select(key, "id", F.col("times").alias(name))
-    both = cut.join(times(left, "a", "lt"), [key, "id"]).join(times(right, "b", "rt"), [key, "id"])
+    times = lambda pieces, at, name: pt.windows(cut.select(key, "id", F.col(at).alias("low"), (F.col(at) + F.col("n")).alias("high")), pieces, key).select(key, "id", F.col("times").alias(name))
+    both = cut.join(times(l, "a", "lt"), [key, "id"]).join(times(r, "b", "rt"), [key, "id"])
     rows = both.select(key, "a", "b", F.posexplode(F.arrays_zip("lt", "rt")).alias("i", "t"))
     return rows.select(key, (F.col("a") + F.col("i")).alias("a"), (F.col("b") + F.col("i")).alias("b"), F.col("t.lt").alias("left_time"), F.col("t.rt").alias("right_time"))
 
@@ -149,10 +155,9 @@ def timed_report(left: DataFrame, right: DataFrame, media: DataFrame, chunk: flo
     window, start, end, characters, matched, coverage): the baseline in spans of ``chunk`` seconds of each media (key,
     duration). Where nothing matches, times and errors are 0.
     """
-    found = aligned_blocks(left, right, key=key)
-    pairs = matched_times(left, right, found, key)
-    error = F.col("right_time") - F.col("left_time")
-    pairs = pairs.withColumn("error", error)
+    l, r = held(left, key), held(right, key)
+    pairs = matched_times(l, r, aligned_blocks(l, r, key=key), key).withColumn("error", F.col("right_time") - F.col("left_time"))
+    pairs = written(pairs, "pairs")
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.abs("error")))
     ranked = pairs.withColumn("_n", place).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(key)))
     p90 = F.greatest(F.lit(0), F.floor(F.col("_all") * 0.9) - 1) + 1
@@ -168,7 +173,7 @@ def timed_report(left: DataFrame, right: DataFrame, media: DataFrame, chunk: flo
     chunks = chunks.select(key, "chunk", "characters", F.coalesce("matched", F.lit(0).cast("long")).alias("matched"), zero(F.col("f"), "from_time"), zero(F.col("t"), "to_time"), zero(F.col("s"), "signed_error"), zero(F.col("e"), "absolute_error"))
     spans = media.where("duration > 0").select(key, "duration", F.explode(F.sequence(F.lit(0), F.ceil(F.col("duration") / chunk).cast("int") - 1)).alias("window"))
     at = lambda t: F.floor(F.col(t) / chunk).cast("int").alias("window")
-    times = pt.pieces(left, key).select(key, F.explode("times").alias("t")).join(media.select(key, "duration"), key).where("t < duration")
+    times = l.select(key, F.explode("times").alias("t")).join(media.select(key, "duration"), key).where("t < duration")
     there = times.groupBy(key, at("t")).agg(F.count(F.lit(1)).alias("characters"))
     hit = pairs.join(media.select(key, "duration"), key).where("left_time < duration").groupBy(key, at("left_time")).agg(F.count(F.lit(1)).alias("matched"))
     spans = spans.join(there, [key, "window"], "left").join(hit, [key, "window"], "left").fillna(0, ["characters", "matched"])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import character_map, characters
+from ..functions.text import character_map
 from . import evidence as ev
 from .align import local_score
 
@@ -31,10 +31,21 @@ BLOCK = 256
 PAIRS = ("《》", "〈〉", "（）", "()", "[]", "【】")
 
 
+@F.pandas_udf(T.StructType().add("chars", T.ArrayType(T.StringType())).add("places", T.ArrayType(T.IntegerType())).add("parts", T.ArrayType(T.StringType())))
+def _taken_apart(text: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t in text:
+        chars, places = character_map(t) if t else ([], [])
+        ends = [*places[1:], len(t) if t else 0]
+        parts = [t[a:z] for a, z in zip(places, ends)]
+        rows.append((chars, places, [*parts[:-1], parts[-1] + "\n"] if parts else []))
+    return pd.DataFrame(rows, columns=["chars", "places", "parts"])
+
+
 def placed(lines: DataFrame, key: str = KEY) -> DataFrame:
-    """lines with ``chars`` (kept characters), ``places`` (where each stands in the text) and ``first``, the place of the
-    line's first kept character in the media's."""
-    rows = lines.withColumn("_c", characters("text")).select(*lines.columns, "_c.*").where(F.size("chars") > 0)
+    """lines with ``chars`` (kept characters), ``places`` (where each stands in the text), ``parts`` (each with what stands
+    between it and the next, the line end after the last) and ``first``, the place of the first of them in the media."""
+    rows = lines.withColumn("_c", _taken_apart("text")).select(*lines.columns, "_c.*").where(F.size("chars") > 0)
     by = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("first", F.coalesce(F.sum(F.size("chars").cast("long")).over(by), F.lit(0).cast("long")))
 
@@ -44,11 +55,9 @@ def pieces(lines: DataFrame, key: str = KEY) -> DataFrame:
     character with what stands between it and the next one, the line end after the line's last."""
     rows = placed(lines, key)
     n = F.size("chars")
-    stop = F.transform("places", lambda p, i: F.coalesce(F.get("places", i + 1), F.length("text")))
-    parts = F.transform("places", lambda p, i: F.concat(F.substring("text", p + 1, F.get("_stop", i) - p), F.when(i == n - 1, "\n").otherwise("")))
     span = F.greatest("end", "start") - F.col("start")
     times = F.transform("chars", lambda c, i: F.col("start") + span * (i + 0.5) / n)
-    cut = rows.withColumn("_stop", stop).select(key, "first", "chars", times.alias("times"), parts.alias("parts"), F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + n - 1) / BLOCK))).alias("block"))
+    cut = rows.select(key, "first", "chars", times.alias("times"), "parts", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + n - 1) / BLOCK))).alias("block"))
     low = F.greatest(F.col("block") * BLOCK - F.col("first"), F.lit(0)).cast("int")
     high = F.least(F.col("block") * BLOCK + BLOCK - F.col("first"), F.size("chars").cast("long")).cast("int")
     part = lambda name: F.slice(name, low + 1, high - low).alias(name)
