@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.shared import written
 
 
 def is_root():
@@ -14,13 +15,6 @@ def is_root():
     return parent.isin("", "0") | (parent == F.col("node_id").cast("string"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once: a round ends its lineage here, in the cluster's checkpoint folder where there is one."""
-    spark = df.sparkSession
-    kept = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return df.checkpoint() if kept else df.localCheckpoint()
-
-
 def depths(df: DataFrame) -> DataFrame:
     """(thread_id, node_id, root_id, depth) of the nodes that a root reaches, at any depth.
 
@@ -32,13 +26,13 @@ def depths(df: DataFrame) -> DataFrame:
     rows = df.select("thread_id", "node_id", F.col("parent_id").alias("up"), is_root().alias("is_root"))
     none = F.lit(None)
     up_type, node_type = rows.schema["up"].dataType, rows.schema["node_id"].dataType
-    done = _cut(rows.where("is_root").select("thread_id", "node_id", F.col("node_id").alias("root_id"), F.lit(0).alias("depth")))
-    left = _cut(rows.where("not is_root").select("thread_id", "node_id", "up", F.lit(1).alias("depth")))
+    done = written(rows.where("is_root").select("thread_id", "node_id", F.col("node_id").alias("root_id"), F.lit(0).alias("depth")), "roots")
+    left = written(rows.where("not is_root").select("thread_id", "node_id", "up", F.lit(1).alias("depth")), "open-nodes")
     while True:
         known = done.withColumn("up", none.cast(up_type)).unionByName(left.withColumn("root_id", none.cast(node_type)))
         known = known.select(F.col("thread_id").alias("_t"), F.col("node_id").alias("_n"), F.col("up").alias("_up"), "root_id", F.col("depth").alias("_depth"))
         joined = left.join(known, (F.col("thread_id") == F.col("_t")) & (F.col("up") == F.col("_n")))
-        step = _cut(joined.select("thread_id", "node_id", F.col("_up").alias("up"), "root_id", (F.col("depth") + F.col("_depth")).alias("depth")))
+        step = written(joined.select("thread_id", "node_id", F.col("_up").alias("up"), "root_id", (F.col("depth") + F.col("_depth")).alias("depth")), "nodes")
         found = step.where("root_id is not null").drop("up")
         if found.isEmpty():
             return done
