@@ -31,6 +31,25 @@ def windows(df: DataFrame, size: int, overlap: int, key: str = "doc_id", ragged:
     return rows.select(key, "window", (F.col("window") * step).alias("first"), F.least(F.col("n"), F.col("window") * step + size).alias("last"))
 
 
+def in_windows(found: DataFrame, size: int, overlap: int, key: str = "doc_id") -> DataFrame:
+    """found (key, pos, ...) with ``window``, ``first``, ``last`` for each of the ``windows`` that hold the row, by arithmetic on its
+    pos. Rows are dealt by key, so that groupings by (key, ...) need no further exchange."""
+    step = max(1, size - overlap)
+    rows = found.repartition(key).withColumn("_n", F.max("pos").over(Window.partitionBy(key)) + 1)
+    low = F.greatest(F.lit(0), F.floor((F.col("pos") - size) / step) + 1).cast("int")
+    high = F.least(F.ceil(F.greatest(F.lit(0), F.col("_n") - size) / step), F.floor(F.col("pos") / step)).cast("int")
+    rows = rows.select(*found.columns, "_n", F.explode(F.sequence(low, high)).alias("window"))
+    return rows.withColumns({"first": F.col("window") * step, "last": F.least(F.col("_n"), F.col("window") * step + size)}).drop("_n")
+
+
+def window_terms(found: DataFrame, size: int, overlap: int, key: str = "doc_id") -> DataFrame:
+    """(key, window, token, tf) of sentences (key, pos, sentence), each taken apart once."""
+    words = found.withColumn("_t", F.regexp_extract_all("sentence", F.lit(r"([A-Za-z0-9_]+|[一-鿿]{2,})"), F.lit(1)))
+    rows = in_windows(words.select(key, "pos", "_t"), size, overlap, key).select(key, "window", F.explode("_t").alias("_t"))
+    rows = rows.select(key, "window", F.lower("_t").alias("token")).where((F.length("token") >= 2) & ~F.col("token").isin(*STOP_WORDS))
+    return rows.groupBy(key, "window", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def unit_terms(units: DataFrame, key: str = "doc_id", unit: str = "window", text: str = "text") -> DataFrame:
     """(key, unit, token, tf)."""
     return units.select(key, unit, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, unit, "token").agg(F.count(F.lit(1)).alias("tf"))
@@ -38,8 +57,8 @@ def unit_terms(units: DataFrame, key: str = "doc_id", unit: str = "window", text
 
 def tfidf(terms: DataFrame, totals: DataFrame, key: str = "doc_id", unit: str = "window", unit_length: bool = False) -> DataFrame:
     """terms with ``weight`` = tf * (ln((1 + N) / (1 + df)) + 1); unit_length=True makes each unit's vector one long."""
-    df = terms.groupBy(key, "token").agg(F.count(F.lit(1)).alias("df"))
-    rows = terms.join(df, [key, "token"]).join(totals, key)
+    df = F.count(F.lit(1)).over(Window.partitionBy(key, "token"))  # beside the terms: no join back
+    rows = terms.withColumn("df", df).join(totals, key)
     rows = rows.withColumn("weight", F.col("tf") * (F.log((1 + F.col("n_units")) / (1 + F.col("df"))) + 1))
     if unit_length:
         norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key, unit)))
@@ -49,9 +68,10 @@ def tfidf(terms: DataFrame, totals: DataFrame, key: str = "doc_id", unit: str =
 
 def centrality(weights: DataFrame, totals: DataFrame, key: str = "doc_id", unit: str = "window") -> DataFrame:
     """(key, unit, score): cosine of each unit with the mean of all units of its key."""
-    centre = weights.groupBy(key, "token").agg(F.sum("weight").alias("c")).join(totals, key).withColumn("c", F.col("c") / F.col("n_units"))
-    size = centre.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("cn"))
-    dot = weights.join(centre.select(key, "token", "c"), [key, "token"]).groupBy(key, unit).agg(F.sum(F.col("weight") * F.col("c")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("un"))
+    by = Window.partitionBy(key, "token")
+    rows = weights.join(totals, key).withColumn("c", F.sum("weight").over(by) / F.col("n_units")).withColumn("_df", F.count(F.lit(1)).over(by))
+    size = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c") / F.col("_df"))).alias("cn"))  # each token once
+    dot = rows.groupBy(key, unit).agg(F.sum(F.col("weight") * F.col("c")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("un"))
     return dot.join(size, key).select(key, unit, F.when((F.col("un") > 0) & (F.col("cn") > 0), F.col("dot") / (F.col("un") * F.col("cn"))).otherwise(0.0).alias("score"))
 
 

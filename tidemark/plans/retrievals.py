@@ -28,17 +28,10 @@ w0 as (select tf.doc_id, win, tf.token, tf, tf * (ln((1 + n_units) / (1 + df)) +
 """
 
 
-def _in_windows(s, w):
-    named = w.withColumnRenamed("doc_id", "w_doc")
-    return s.join(named, (F.col("doc_id") == F.col("w_doc")) & (F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("last"))).drop("w_doc")
-
-
 def _units(spark, d):
     s = rt.sentences(views.table(spark, d, "documents"))
-    w = rt.windows(s, 8, 2)
-    joined = _in_windows(s, w).select("doc_id", "window", F.col("sentence").alias("text"))
-    totals = w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"))
-    return s, w, rt.unit_terms(joined), totals
+    totals = rt.windows(s, 8, 2).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"))
+    return rt.window_terms(s, 8, 2), totals
 
 
 @register(f"with {SENTENCES} select doc_id, pos, sentence from sent")
@@ -64,14 +57,14 @@ select doc_id, win as "window", round(dot / (un * cn), 6) as score from dot join
 
 @register(_centrality_sql("w as (select * from w0)"))
 def tfidf_centrality(spark, d):
-    _, _, terms, totals = _units(spark, d)
+    terms, totals = _units(spark, d)
     got = rt.centrality(rt.tfidf(terms, totals), totals)
     return got.select("doc_id", "window", F.round("score", 6).alias("score"))
 
 
 @register(_centrality_sql("w as (select doc_id, win, token, tf, weight / sqrt(sum(weight * weight) over (partition by doc_id, win)) as weight from w0)"))
 def tfidf_centrality_unit_length(spark, d):
-    _, _, terms, totals = _units(spark, d)
+    terms, totals = _units(spark, d)
     got = rt.centrality(rt.tfidf(terms, totals, unit_length=True), totals)
     return got.select("doc_id", "window", F.round("score", 6).alias("score"))
 
@@ -82,7 +75,7 @@ r as (select *, row_number() over (partition by doc_id, win order by weight desc
 select doc_id, win as "window", string_agg(token, ' ' order by k) as keywords from r where k <= 8 group by doc_id, win
 """)
 def top_keywords(spark, d):
-    _, _, terms, totals = _units(spark, d)
+    terms, totals = _units(spark, d)
     return rt.top_keywords(rt.tfidf(terms, totals), 8).select("doc_id", "window", F.array_join("keywords", " ").alias("keywords"))
 
 
@@ -116,8 +109,7 @@ select doc_id, win as "window", cast(score as bigint) as score, cast(rank as int
 """)
 def keyword_search(spark, d):
     s = rt.sentences(views.table(spark, d, "documents"))
-    w = rt.windows(s, 8, 2)
-    units = _in_windows(s, w).groupBy("doc_id", "window", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
+    units = rt.in_windows(s, 8, 2).groupBy("doc_id", "window", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
     got = rt.keyword_search(units, "tion eau")
     return got.select("doc_id", "window", F.col("score").cast("long").alias("score"), "rank")
 
