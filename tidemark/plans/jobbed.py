@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import flows as fl
 from ..operators import jobs as jb
 from ..operators import threads as th
+from ..streaming import sessions as ss
 from . import views
 from .registry import register
 
@@ -96,3 +97,19 @@ def deep_thread_depths(spark, d):
     node = F.col("event_id") + 1  # a parent 0 is none
     parent = F.lag(node).over(Window.partitionBy("user_id").orderBy("event_id"))
     return th.depths(e.select(F.col("user_id").alias("thread_id"), node.alias("node_id"), parent.alias("parent_id")))
+
+
+@register(r"""
+with parts as (
+  select conv_id as session_id, turn, unnest(string_split(replace(coalesce(text, ''), '.', '.' || chr(10)), chr(10))) as part, generate_subscripts(string_split(replace(coalesce(text, ''), '.', '.' || chr(10)), chr(10)), 1) - 1 as i from conversations),
+rows as (select session_id, turn, i, trim(part) as text, turn * 3.0::double + i * 0.01::double as start from parts where trim(part) <> ''),
+chunks as (select conv_id as session_id, max(turn) + 1 as n from conversations group by conv_id)
+select c.session_id, cast(any_value(n) as int) as num_chunks, any_value(n) * 3.0::double as duration_seconds, 3.0::double as chunk_seconds, count(r.text) as num_segments, md5(coalesce(string_agg(r.text, chr(10) order by start, turn), '')) as transcript
+from chunks c left join rows r on c.session_id = r.session_id group by c.session_id
+""")
+def capture_sessions(spark, d):
+    """Turns as captured chunks: each part of a turn lasts a hundredth of a second."""
+    parts = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("."), F.lit(".\n")), "\n", -1)
+    segments = F.transform(parts, lambda p, i: F.struct((i * 0.01).alias("start"), (i * 0.01 + 0.01).alias("end"), p.alias("text")))
+    chunks = views.table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").cast("int").alias("chunk"), segments.alias("segments"))
+    return ss.manifests(chunks, ss.captured(chunks)).withColumn("transcript", F.md5("transcript"))
