@@ -197,3 +197,34 @@ def test_streams_in_small_lots(spark, monkeypatch, make):
             assert "".join(r[5] for r in own) == text
         else:
             assert own[-1][2] == len(kept(text)) and all(r[2] - r[1] <= 32 for r in own)
+
+
+def test_proposed_breaks_of_lines(spark):
+    """Breaks that pass the checks are taken first, what is left is cut by cost, and every proposal has its verdict."""
+    rng = random.Random(11)
+    rows = []
+    for pos in range(40):
+        text = text_of(rng, rng.randrange(20, 120))
+        n = len(kept(text))
+        rows.append((1, pos, 10.0 * pos, 10.0 * pos + 0.2 * max(1, n), text, [rng.randrange(-2, n + 3) for _ in range(rng.randrange(0, 9))] + [None]))
+    limits = cu.Limits(4, 14, 4.0)
+    got = cu.cue_breaks(spark.createDataFrame(rows, LINES + ", proposed array<int>"), limits).collect()
+    seen = 0
+    for m, pos, start, end, text, proposed in rows:
+        at = kept(text)
+        times = [start + (end - start) * (i + 0.5) / len(at) for i in range(len(at))]
+        follow = next((t for p, t in ((r[1], r[4]) for r in rows) if p > pos and kept(t)), "")
+        follow = follow[: kept(follow)[0] + 1] if follow else ""
+        b = cu.Breaks([line(text, times, follow)])
+        own = sorted((r for r in got if r["pos"] == pos), key=lambda r: r["from_char"])
+        assert [r["from_char"] for r in own][1:] == [r["to_char"] for r in own][:-1] and own[-1]["to_char"] == len(at)
+        for first in b.first.tolist():
+            stop = int(b.stop[first])
+            inside = [p for p in proposed if p is not None and first < p < stop]
+            want = cu.checked(b, inside, first, stop, limits) if stop - first > limits.most else []
+            unit = [r for r in own if first <= r["from_char"] < stop]
+            assert [(c["at"], c["reason"]) for c in unit[0]["checks"]] == want
+            good = {p for p, reason in want if reason is None}
+            assert good <= {r["to_char"] for r in unit}
+            seen += len(good)
+    assert seen > 2

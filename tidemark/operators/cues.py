@@ -18,11 +18,13 @@ repeat a pos the order is by start and text. A row's other columns are left behi
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +61,13 @@ class Limits:
         return min(self.aim, 2.8)
 
 
+ASCII_WORD = string.ascii_letters + string.digits
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 def _counted(flags: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(flags)])
 
@@ -71,26 +80,33 @@ class Breaks:
 
     def __init__(self, lines: list[tuple[str, np.ndarray, list[int], str]], word_ends: Callable[[list[str]], set[int]] | None = None):
         """lines: (text, time of each kept character, their places in the text, what follows the line up to the next kept character)."""
-        before, after, gaps, line_of = [], [], [], []
-        for number, (text, _, places, following) in enumerate(lines):
-            kept = [text[p] for p in places]
-            ends = [*places[1:], None]
-            before += kept
-            after += kept[1:] + [following[-1:]]
-            gaps += [text[p + 1 :] + "\n" + following[:-1] if q is None else text[p + 1 : q] for p, q in zip(places, ends)]
-            line_of += [number] * len(kept)
-        self.n = n = len(before)
-        self.line = np.array(line_of, dtype=np.int64)
+        # All lines end to end, each with its line end and what follows up to the next kept character.
+        raw = [text + "\n" + following[:-1] for text, _, _, following in lines]
+        codes = _codes("".join(raw))
+        sizes = np.array([len(places) for _, _, places, _ in lines], dtype=np.int64)
+        self.n = n = int(sizes.sum())
+        self.line = np.repeat(np.arange(len(lines)), sizes)
         self.time = np.concatenate([t for _, t, _, _ in lines]) if lines else np.zeros(0)
-        seen = [c + g for c, g in zip(before, gaps)]
-        of = lambda marks: np.array([False, *(any(m in marks for m in s) for s in seen)], dtype=bool)
-        self.strong, self.weak, self.inner, self.any = of(STRONG), of(WEAK), of(INNER), of(ANY)
-        mark = lambda test: np.array([False, *map(test, before, after)], dtype=bool)
-        self.dangling = mark(lambda c, d: c in NO_END or d != "" and d in NO_START or d == "")
-        self.torn = mark(lambda c, d: c + d in TOGETHER)
-        self.in_word = mark(lambda c, d: c.isascii() and c.isalnum() and d.isascii() and d.isalnum())
-        self.closing = mark(lambda c, d: d == "" or d in CLOSERS)
-        self.bare = mark(lambda c, d: c not in ANY)
+        ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+        begin = np.concatenate([np.array(places, dtype=np.int64) + end - len(r) for (_, _, places, _), r, end in zip(lines, raw, ends)]) if lines else np.zeros(0, dtype=np.int64)
+        final = np.cumsum(sizes)[sizes > 0] - 1
+        stop, after = np.append(begin[1:], 0)[:n], np.append(codes[begin[1:]], 0)[:n]
+        stop[final] = ends[sizes > 0]
+        after[final] = [ord(following[-1]) if following else 0 for (_, _, _, following), size in zip(lines, sizes) if size]
+        before = codes[begin]
+
+        def shown(marks: str) -> np.ndarray:
+            count = _counted(np.isin(codes, _codes(marks)))
+            return count[stop] > count[begin]
+
+        at_breaks = lambda flags: np.concatenate([[False], flags])
+        self.strong, self.weak, self.inner, self.any = (at_breaks(shown(marks)) for marks in (STRONG, WEAK, INNER, ANY))
+        word = lambda c: (c < 128) & np.isin(c, _codes(ASCII_WORD))
+        self.dangling = at_breaks(np.isin(before, _codes(NO_END)) | np.isin(after, _codes(NO_START)) | (after == 0))
+        self.torn = at_breaks(np.isin(before.astype(np.int64) << 21 | after, [ord(t[0]) << 21 | ord(t[1]) for t in TOGETHER if len(t) == 2]))
+        self.in_word = at_breaks(word(before) & word(after))
+        self.closing = at_breaks(np.isin(after, _codes(CLOSERS)) | (after == 0))
+        self.bare = at_breaks(~np.isin(before, _codes(ANY)))
         self.off_word = np.zeros(n + 1, dtype=bool)
         if word_ends is not None:
             first = 0
@@ -99,7 +115,7 @@ class Breaks:
                 self.off_word[first + 1 : first + len(places) + 1] = [b not in known for b in range(1, len(places) + 1)]
                 first += len(places)
         # A unit ends where a sentence or a line does.
-        last = self.strong[1:] | np.array(["\n" in g for g in gaps], dtype=bool)
+        last = self.strong[1:] | shown("\n")
         ends = np.flatnonzero(last) + 1
         self.stop = ends[np.searchsorted(ends, np.arange(n), side="right")] if n else np.zeros(0, dtype=np.int64)
         self.first = np.concatenate([[0], ends[:-1]]).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
@@ -111,27 +127,27 @@ class Breaks:
         return self.counts[name][np.maximum(top, np.minimum(low, self.n + 1))] > self.counts[name][np.minimum(low, self.n + 1)]
 
 
-def unit_costs(b: Breaks, limits: Limits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def unit_costs(b: Breaks, limits: Limits, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(break, cost) of each start for one cue length after the other, shortest first; cost is infinite where a start has
     no such break."""
-    start = np.arange(b.n)
-    low = np.minimum(b.stop, start + max(1, limits.least))
-    high = np.minimum(b.stop, start + max(1, limits.most))
-    reach = np.minimum(b.stop, high + 4)
-    pause_near, comma_ahead = b.within("pause", low, high), b.within("weak", low, b.stop - 1)
+    stop, time = b.stop[start], b.time[start]
+    low = np.minimum(stop, start + max(1, limits.least))
+    high = np.minimum(stop, start + max(1, limits.most))
+    reach = np.minimum(stop, high + 4)
+    pause_near, comma_ahead = b.within("pause", low, high), b.within("weak", low, stop - 1)
     for length in range(1, max(1, limits.most) + 5):
         end = start + length
         here = (end >= low) & (end <= reach)
         if not here.any():
             continue
         e = np.minimum(end, b.n)
-        last = e == b.stop
-        seconds = np.maximum(0.001, b.time[e - 1] - b.time)
-        left = b.stop - e
+        last = e == stop
+        seconds = np.maximum(0.001, b.time[e - 1] - time)
+        left = stop - e
         cost = abs(length - min(limits.most, 18)) * 0.08 + abs(seconds - limits.best) * 1.4
         cost = cost + np.where(e > high, (e - high) * 0.9, 0.0)
-        late = last & (seconds > limits.best) & comma_ahead & (b.stop - start >= 18)
-        more = b.within("pause", e + limits.least, b.stop)
+        late = last & (seconds > limits.best) & comma_ahead & (stop - start >= 18)
+        more = b.within("pause", e + limits.least, stop)
         plain = np.where(last, -5.0, np.where(pause_near, 6.0, 0.0))
         cost = cost + np.where(b.strong[e], -14.0, np.where(b.weak[e], -10.0, plain))
         cost = cost + np.where(b.strong[e], np.where(late, 32.0, 0.0), np.where(b.weak[e] & more, length * 0.40, 0.0))
@@ -144,22 +160,28 @@ def unit_costs(b: Breaks, limits: Limits) -> Iterator[tuple[np.ndarray, np.ndarr
         yield e, np.where(here, cost, np.inf)
 
 
-def next_breaks(b: Breaks, limits: Limits) -> np.ndarray:
-    """For each start the break of its cue: the unit's end where the rest is short enough, else the cheapest break."""
-    start = np.arange(b.n)
-    best, found = np.full(b.n, np.inf), b.stop.copy()
-    for end, cost in unit_costs(b, limits):
-        better = cost < best
-        best, found = np.where(better, cost, best), np.where(better, end, found)
-    rest, seconds = b.stop - start, b.time[b.stop - 1] - b.time
-    inner = b.within("inner", start + limits.least, b.stop - 1)
-    whole = (rest <= limits.most) & (seconds <= limits.seconds) & ((rest < 18) | (seconds <= limits.best) | ~inner)
-    return np.where(whole, b.stop, found)
+def next_breaks(b: Breaks, limits: Limits, also: list[int] | tuple[int, ...] = ()) -> np.ndarray:
+    """For each start of a cue its break, for others their unit's end: the rest of the unit where that is short enough, else
+    the cheapest break. All units take their first cue together, then their second one, and so on; ``also`` are further
+    starts."""
+    jump, start = b.stop.copy(), np.union1d(b.first, np.array(also, dtype=np.int64))
+    while len(start):
+        stop = b.stop[start]
+        best, found = np.full(len(start), np.inf), stop.copy()
+        for end, cost in unit_costs(b, limits, start):
+            better = cost < best
+            best, found = np.where(better, cost, best), np.where(better, end, found)
+        rest, seconds = stop - start, b.time[stop - 1] - b.time[start]
+        inner = b.within("inner", start + limits.least, stop - 1)
+        whole = (rest <= limits.most) & (seconds <= limits.seconds) & ((rest < 18) | (seconds <= limits.best) | ~inner)
+        jump[start] = found = np.where(whole, stop, found)
+        start = np.unique(found[found < stop])
+    return jump
 
 
 def least_breaks(b: Breaks, limits: Limits) -> np.ndarray:
     """For each start the first break of the cheapest way to its unit's end; of equal ways the shorter first cue."""
-    ends, costs = zip(*unit_costs(b, limits)) if b.n else ((), ())
+    ends, costs = zip(*unit_costs(b, limits, np.arange(b.n))) if b.n else ((), ())
     ends, costs = np.array(ends), np.array(costs)
     total, found = np.zeros(b.n + 1), b.stop.copy()
     for start in range(b.n - 1, -1, -1):
@@ -224,6 +246,17 @@ def _with_following(df: DataFrame, key: str) -> DataFrame:
     return lines.withColumn("following", F.coalesce(F.lead(opening).over(by), F.lit(""))).withColumn("line", F.row_number().over(by))
 
 
+def _lots(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """The lines in batches of about ``most`` characters; a longer line stands alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.utf8_length(batch.column(batch.schema.get_field_index("text"))).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def _read(batch: pa.RecordBatch) -> tuple[list[tuple[str, np.ndarray, list[int], str]], list[int]]:
     """Lines of a batch for Breaks, and their row numbers; a line whose letters NFKC takes away is left out."""
     rows, numbers = [], []
@@ -240,7 +273,7 @@ def unit_rows(df: DataFrame, key: str = "media_id") -> DataFrame:
     """(key, pos, unit, text) of each sentence of each line: strong marks and line ends end a unit."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _lots(batches):
             rows, numbers = _read(batch)
             b = Breaks(rows)
             line = b.line[b.first]
@@ -267,22 +300,26 @@ def cue_breaks(df: DataFrame, limits: Limits = Limits(), way: str = "next", word
     checks_type = pa.list_(pa.struct([("at", pa.int32()), ("reason", pa.string())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in _lots(batches):
             rows, numbers = _read(batch)
             b = Breaks(rows, word_ends)
-            jump = (next_breaks if way == "next" else least_breaks)(b, limits)
             asked = batch.column(batch.schema.get_field_index("proposed")).to_pylist() if "proposed" in batch.schema.names else None
             begin = np.searchsorted(b.line, np.arange(len(rows)))
+            taken: dict[int, list[tuple[int, str | None]]] = {}
+            if asked is not None:
+                for first, stop in zip(b.first.tolist(), b.stop[b.first].tolist() if b.n else []):
+                    k = int(b.line[first])
+                    own = [int(at) + int(begin[k]) for at in asked[numbers[k]] or [] if at is not None and first < at + int(begin[k]) < stop]
+                    if stop - first > limits.most and own:
+                        taken[first] = checked(b, own, first, stop, limits)
+            jump = least_breaks(b, limits) if way == "least" else next_breaks(b, limits, sorted(at for found in taken.values() for at, reason in found if reason is None))
             out = []
             for first, stop in zip(b.first.tolist(), b.stop[b.first].tolist() if b.n else []):
                 k = int(b.line[first])
                 text, _, places, _ = rows[k]
-                zero, told, forced = int(begin[k]), [], []
-                if asked is not None and stop - first > limits.most:
-                    own = [int(at) + zero for at in asked[numbers[k]] or [] if at is not None and first < at + zero < stop]
-                    found = checked(b, own, first, stop, limits)
-                    told = [{"at": at - zero, "reason": reason} for at, reason in found]
-                    forced = [at for at, reason in found if reason is None]
+                zero, found = int(begin[k]), taken.get(first, [])
+                told = [{"at": at - zero, "reason": reason} for at, reason in found]
+                forced = [at for at, reason in found if reason is None]
                 at = first
                 while at < stop:
                     end = next((f for f in forced if f > at), None) or int(jump[at])
