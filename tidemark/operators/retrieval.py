@@ -33,9 +33,9 @@ def windows(df: DataFrame, size: int, overlap: int, key: str = "doc_id", ragged:
 
 def in_windows(found: DataFrame, size: int, overlap: int, key: str = "doc_id") -> DataFrame:
     """found (key, pos, ...) with ``window``, ``first``, ``last`` for each of the ``windows`` that hold the row, by arithmetic on its
-    pos. Rows are dealt by key, so that groupings by (key, ...) need no further exchange."""
+    pos. Rows that are dealt by key already are not dealt again, and groupings by (key, ...) need no exchange either way."""
     step = max(1, size - overlap)
-    rows = found.repartition(key).withColumn("_n", F.max("pos").over(Window.partitionBy(key)) + 1)
+    rows = found.withColumn("_n", F.max("pos").over(Window.partitionBy(key)) + 1)
     low = F.greatest(F.lit(0), F.floor((F.col("pos") - size) / step) + 1).cast("int")
     high = F.least(F.ceil(F.greatest(F.lit(0), F.col("_n") - size) / step), F.floor(F.col("pos") / step)).cast("int")
     rows = rows.select(*found.columns, "_n", F.explode(F.sequence(low, high)).alias("window"))

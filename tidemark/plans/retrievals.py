@@ -28,8 +28,13 @@ w0 as (select tf.doc_id, win, tf.token, tf, tf * (ln((1 + n_units) / (1 + df)) +
 """
 
 
+def _sentences(spark, d):
+    """Texts are dealt before they are cut: they travel once, whole."""
+    return rt.sentences(views.table(spark, d, "documents").repartition("doc_id"))
+
+
 def _units(spark, d):
-    s = rt.sentences(views.table(spark, d, "documents"))
+    s = _sentences(spark, d)
     totals = rt.windows(s, 8, 2).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"))
     return rt.window_terms(s, 8, 2), totals
 
@@ -108,7 +113,7 @@ r as (select *, row_number() over (partition by doc_id order by score desc, firs
 select doc_id, win as "window", cast(score as bigint) as score, cast(rank as int) as rank from r where rank <= 4
 """)
 def keyword_search(spark, d):
-    s = rt.sentences(views.table(spark, d, "documents"))
+    s = _sentences(spark, d)
     units = rt.in_windows(s, 8, 2).groupBy("doc_id", "window", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
     got = rt.keyword_search(units, "tion eau")
     return got.select("doc_id", "window", F.col("score").cast("long").alias("score"), "rank")
