@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,43 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("the", "and", "for", "that", "this", "with", "you", "are", "was", "but", "not", "have")
 
 
+#: Rows that a function in Python turns into objects at once.
+ROWS = 64
+
+
+def parts(batches: Iterator) -> Iterator:
+    """Batches of columns (or of one column) in slices of ``ROWS`` rows, so that what is made of them stays small."""
+    for batch in batches:
+        n = len(batch[0]) if isinstance(batch, tuple) else len(batch)
+        for at in range(0, n, ROWS):
+            cut = slice(at, at + ROWS)
+            yield tuple(c.iloc[cut] for c in batch) if isinstance(batch, tuple) else batch.iloc[cut]
+
+
+def weighted(units: list[list[str]], unit_length: bool = False) -> tuple[int, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of units, terms, unit, term, tf, weight) of the (unit, term) pairs of one text's units.
+
+    weight = tf * (ln((1 + units) / (1 + df)) + 1); unit_length=True makes each unit's vector one long.
+    """
+    ids: dict[str, int] = {}
+    term = np.array([ids.setdefault(t, len(ids)) for u in units for t in u], dtype=np.int64)
+    n, v = len(units), max(1, len(ids))
+    pair, tf = np.unique(np.repeat(np.arange(n), [len(u) for u in units]) * v + term, return_counts=True)
+    unit, term = pair // v, pair % v
+    weight = tf * (np.log((1 + n) / (1 + np.bincount(term, minlength=v))) + 1)[term]
+    if unit_length:
+        weight = weight / np.sqrt(np.bincount(unit, weight * weight, n))[unit]
+    return n, list(ids), unit, term, tf, weight
+
+
+def central(found: tuple) -> np.ndarray:
+    """Cosine of each of the ``weighted`` units with the mean of all; 0 without terms."""
+    n, names, unit, term, _, weight = found
+    centre = np.bincount(term, weight, max(1, len(names))) / max(1, n)
+    size = np.sqrt(np.bincount(unit, weight * weight, n)) * np.sqrt(np.sum(centre * centre))
+    return np.divide(np.bincount(unit, weight * centre[term], n), size, out=np.zeros(n), where=size > 0)
+
+
 def sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, sentence): cut after sentence ends and at line ends; white space single, empty ones left out."""
     cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"([.。！？!?]+[」』”’）)]*)", "$1\n"), r"\n")
