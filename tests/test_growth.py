@@ -30,3 +30,14 @@ def test_only_numbers_are_ranked(spark):
 def test_slices_are_small():
     sizes = [len(p) for p in rt.parts([pd.Series(range(200)), pd.Series(range(3))])]
     assert sum(sizes) == 203 and max(sizes) <= rt.ROWS
+
+
+def test_windows_are_weighed_where_their_text_stands(spark):
+    df = spark.createDataFrame([(i, "one two. two three! four " * (i % 30)) for i in range(300)] + [(300, None), (301, "!")], "doc_id int, text string")
+    lists = rt.sentence_lists(df)
+    keywords = rt.top_keywords(lists, 8, 2)
+    for made in (rt.centrality(lists, 8, 2), rt.centrality(lists, 8, 2, unit_length=True), keywords):
+        assert "Exchange" not in plan(made)
+        spans = {(r["doc_id"], r["window"]) for r in rt.windows(rt.sentences(df), 8, 2).collect()}
+        assert {(r["doc_id"], r["window"]) for r in made.collect()} == spans - {(301, 0)}
+    assert keywords.where("doc_id = 1").first()["keywords"] == ["two", "three", "one", "four"]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that are no keywords.
 STOP_WORDS = ("the", "and", "for", "that", "this", "with", "you", "are", "was", "but", "not", "have")
@@ -50,11 +52,15 @@ def central(found: tuple) -> np.ndarray:
     return np.divide(np.bincount(unit, weight * centre[term], n), size, out=np.zeros(n), where=size > 0)
 
 
+def sentence_lists(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, s): the sentences of each text in one row, as ``sentences`` cuts them."""
+    cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"([.。！？!?]+[」』”’）)]*)", "$1\n"), r"\n")
+    return df.select(key, F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "").alias("s"))
+
+
 def sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, sentence): cut after sentence ends and at line ends; white space single, empty ones left out."""
-    cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"([.。！？!?]+[」』”’）)]*)", "$1\n"), r"\n")
-    rows = df.select(key, F.posexplode(F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")).alias("pos", "sentence"))
-    return rows
+    return sentence_lists(df, key, text).select(key, F.posexplode("s").alias("pos", "sentence"))
 
 
 def tokens(text: Column) -> Column:
@@ -83,44 +89,52 @@ def in_windows(found: DataFrame, size: int, overlap: int, key: str = "doc_id") -
     return rows.withColumns({"first": F.col("window") * step, "last": F.least(F.col("_n"), F.col("window") * step + size)}).drop("_n")
 
 
-def window_terms(found: DataFrame, size: int, overlap: int, key: str = "doc_id") -> DataFrame:
-    """(key, window, token, tf) of sentences (key, pos, sentence), each taken apart once."""
-    words = found.withColumn("_t", F.regexp_extract_all("sentence", F.lit(r"([A-Za-z0-9_]+|[一-鿿]{2,})"), F.lit(1)))
-    rows = in_windows(words.select(key, "pos", "_t"), size, overlap, key).select(key, "window", F.explode("_t").alias("_t"))
-    rows = rows.select(key, "window", F.lower("_t").alias("token")).where((F.length("token") >= 2) & ~F.col("token").isin(*STOP_WORDS))
-    return rows.groupBy(key, "window", "token").agg(F.count(F.lit(1)).alias("tf"))
+_TERM = re.compile(r"[A-Za-z0-9_]+|[一-鿿]{2,}")
+
 
+def _window_terms(own: list[str], size: int, overlap: int) -> list[list[str]]:
+    """The terms of each of the ``windows`` of one text's sentences, as ``tokens`` gives them; a sentence is taken apart once."""
+    words = [[t for t in " ".join(_TERM.findall(one)).lower().split() if len(t) >= 2 and t not in STOP_WORDS] for one in own]
+    step = max(1, size - overlap)
+    many = max(0, -(-(len(own) - size) // step)) + 1 if len(words) else 0
+    return [[t for one in words[k * step : k * step + size] for t in one] for k in range(many)]
 
-def unit_terms(units: DataFrame, key: str = "doc_id", unit: str = "window", text: str = "text") -> DataFrame:
-    """(key, unit, token, tf)."""
-    return units.select(key, unit, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, unit, "token").agg(F.count(F.lit(1)).alias("tf"))
 
+def centrality(lists: DataFrame, size: int, overlap: int, unit_length: bool = False, key: str = "doc_id") -> DataFrame:
+    """(key, window, score) of ``sentence_lists``: cosine of each window that has terms with the mean of all windows of its
+    text. A text's windows are weighed where its row stands: nothing is shuffled."""
 
-def tfidf(terms: DataFrame, totals: DataFrame, key: str = "doc_id", unit: str = "window", unit_length: bool = False) -> DataFrame:
-    """terms with ``weight`` = tf * (ln((1 + N) / (1 + df)) + 1); unit_length=True makes each unit's vector one long."""
-    df = F.count(F.lit(1)).over(Window.partitionBy(key, "token"))  # beside the terms: no join back
-    rows = terms.withColumn("df", df).join(totals, key)
-    rows = rows.withColumn("weight", F.col("tf") * (F.log((1 + F.col("n_units")) / (1 + F.col("df"))) + 1))
-    if unit_length:
-        norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key, unit)))
-        rows = rows.withColumn("weight", F.col("weight") / norm)
-    return rows.select(key, unit, "token", "tf", "weight")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts(batches):
+            out = []
+            for own in part:
+                units = _window_terms(own, size, overlap)
+                out.append([x if u else None for x, u in zip(central(weighted(units, unit_length)), units)])
+            yield pd.Series(out, dtype="object")
+
+    return lists.select(key, F.posexplode(scores("s")).alias("window", "score")).where("score is not null")
+
+
+def top_keywords(lists: DataFrame, size: int, overlap: int, k: int = 8, key: str = "doc_id") -> DataFrame:
+    """(key, window, keywords) of ``sentence_lists``: the k heaviest terms of each window that has terms; ties by count, then
+    by term, all downwards."""
 
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def heaviest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts(batches):
+            yield pd.Series([_heaviest(weighted(_window_terms(own, size, overlap)), k) for own in part], dtype="object")
 
-def centrality(weights: DataFrame, totals: DataFrame, key: str = "doc_id", unit: str = "window") -> DataFrame:
-    """(key, unit, score): cosine of each unit with the mean of all units of its key."""
-    by = Window.partitionBy(key, "token")
-    rows = weights.join(totals, key).withColumn("c", F.sum("weight").over(by) / F.col("n_units")).withColumn("_df", F.count(F.lit(1)).over(by))
-    size = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c") / F.col("_df"))).alias("cn"))  # each token once
-    dot = rows.groupBy(key, unit).agg(F.sum(F.col("weight") * F.col("c")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("un"))
-    return dot.join(size, key).select(key, unit, F.when((F.col("un") > 0) & (F.col("cn") > 0), F.col("dot") / (F.col("un") * F.col("cn"))).otherwise(0.0).alias("score"))
+    return lists.select(key, F.posexplode(heaviest("s")).alias("window", "keywords")).where("size(keywords) > 0")
 
 
-def top_keywords(weights: DataFrame, k: int = 8, key: str = "doc_id", unit: str = "window") -> DataFrame:
-    """The k heaviest tokens of each unit; ties by count, then by token, all downwards."""
-    by = Window.partitionBy(key, unit).orderBy(F.desc("weight"), F.desc("tf"), F.desc("token"))
-    rows = weights.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return rows.groupBy(key, unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("keywords"))
+def _heaviest(found: tuple, k: int) -> list[list[str]]:
+    n, names, unit, term, tf, weight = found
+    place = np.empty(len(names), dtype=np.int64)
+    place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    order = np.lexsort((-place[term], -tf, -weight, unit))
+    first = np.searchsorted(unit, np.arange(n + 1))  # pairs come by unit
+    return [[names[i] for i in term[order[a : min(z, a + k)]]] for a, z in zip(first[:-1], first[1:])]
 
 
 def rank_fusion(scores: DataFrame, columns: list[str], key: str = "doc_id", order: str = "window", k: int = 60) -> DataFrame:

@@ -33,10 +33,8 @@ def _sentences(spark, d):
     return rt.sentences(views.table(spark, d, "documents").repartition("doc_id"))
 
 
-def _units(spark, d):
-    s = _sentences(spark, d)
-    totals = rt.windows(s, 8, 2).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"))
-    return rt.window_terms(s, 8, 2), totals
+def _lists(spark, d):
+    return rt.sentence_lists(views.table(spark, d, "documents"))
 
 
 @register(f"with {SENTENCES} select doc_id, pos, sentence from sent")
@@ -62,15 +60,13 @@ select doc_id, win as "window", round(dot / (un * cn), 6) as score from dot join
 
 @register(_centrality_sql("w as (select * from w0)"))
 def tfidf_centrality(spark, d):
-    terms, totals = _units(spark, d)
-    got = rt.centrality(rt.tfidf(terms, totals), totals)
+    got = rt.centrality(_lists(spark, d), 8, 2)
     return got.select("doc_id", "window", F.round("score", 6).alias("score"))
 
 
 @register(_centrality_sql("w as (select doc_id, win, token, tf, weight / sqrt(sum(weight * weight) over (partition by doc_id, win)) as weight from w0)"))
 def tfidf_centrality_unit_length(spark, d):
-    terms, totals = _units(spark, d)
-    got = rt.centrality(rt.tfidf(terms, totals, unit_length=True), totals)
+    got = rt.centrality(_lists(spark, d), 8, 2, unit_length=True)
     return got.select("doc_id", "window", F.round("score", 6).alias("score"))
 
 
@@ -80,8 +76,7 @@ r as (select *, row_number() over (partition by doc_id, win order by weight desc
 select doc_id, win as "window", string_agg(token, ' ' order by k) as keywords from r where k <= 8 group by doc_id, win
 """)
 def top_keywords(spark, d):
-    terms, totals = _units(spark, d)
-    return rt.top_keywords(rt.tfidf(terms, totals), 8).select("doc_id", "window", F.array_join("keywords", " ").alias("keywords"))
+    return rt.top_keywords(_lists(spark, d), 8, 2, 8).select("doc_id", "window", F.array_join("keywords", " ").alias("keywords"))
 
 
 @register("""
