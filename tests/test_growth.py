@@ -1,7 +1,13 @@
 """What makes the cost of large tables grow with them only: plans without exchanges, matching without products, small slices."""
 
+import random
+from difflib import SequenceMatcher
+
 import pandas as pd
+import pyarrow as pa
 
+from tidemark.functions import slices
+from tidemark.operators import align as al
 from tidemark.operators import context as cx
 from tidemark.operators import retrieval as rt
 
@@ -28,8 +34,8 @@ def test_only_numbers_are_ranked(spark):
 
 
 def test_slices_are_small():
-    sizes = [len(p) for p in rt.parts([pd.Series(range(200)), pd.Series(range(3))])]
-    assert sum(sizes) == 203 and max(sizes) <= rt.ROWS
+    sizes = [len(p) for p in slices.parts([pd.Series(range(200)), pd.Series(range(3))])]
+    assert sum(sizes) == 203 and max(sizes) <= slices.ROWS
 
 
 def test_windows_are_weighed_where_their_text_stands(spark):
@@ -41,3 +47,32 @@ def test_windows_are_weighed_where_their_text_stands(spark):
         spans = {(r["doc_id"], r["window"]) for r in rt.windows(rt.sentences(df), 8, 2).collect()}
         assert {(r["doc_id"], r["window"]) for r in made.collect()} == spans - {(301, 0)}
     assert keywords.where("doc_id = 1").first()["keywords"] == ["two", "three", "one", "four"]
+
+
+def test_blocks_are_those_of_difflib_for_every_way(monkeypatch):
+    rng = random.Random(5)
+    for pairs in (1 << 18, 12, 0):  # laid out, mixed, by sorted suffixes only
+        monkeypatch.setattr(al, "PAIRS", pairs)
+        for _ in range(200):
+            letters = "ab cé測試😀"[: rng.choice([1, 2, 3, 8])]
+            a = "".join(rng.choice(letters) for _ in range(rng.randrange(40)))
+            b = "".join(c if rng.random() < 0.8 else rng.choice(letters) for c in a) + rng.choice(["", "ab"])
+            for x, y in ((a, b), (b, a), (a.split(), b.split())):
+                assert al.blocks(x, y) == SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
+
+
+def test_long_texts_are_not_matched_by_difflib(monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("every pair of items is looked at")
+
+    monkeypatch.setattr(al, "SequenceMatcher", refuse)
+    said = " ".join(f"word{k * k % 997}" for k in range(5000))
+    words = [{"start": float(k), "end": k + 1.0, "text": w} for k, w in enumerate(said.split())]
+    lines = [" ".join(said.split()[k : k + 20]).replace("3", "4") for k in range(0, 5000, 20)]
+    assert al.placed_lines(lines, words)[0] > 0.72
+
+
+def test_arrow_slices_are_small():
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 100_000] * 50 + ["y"] * 500})
+    sizes = [(p.num_rows, sum(map(len, p.column(0).to_pylist()))) for p in slices.record_parts([batch, batch.slice(0, 0)])]
+    assert sum(n for n, _ in sizes) == 550 and max(n for n, _ in sizes) <= slices.ROWS

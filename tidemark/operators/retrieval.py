@@ -11,23 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.slices import parts
+
 #: Words that are no keywords.
 STOP_WORDS = ("the", "and", "for", "that", "this", "with", "you", "are", "was", "but", "not", "have")
 
 
-#: Rows that a function in Python turns into objects at once.
-ROWS = 64
-
-
-def parts(batches: Iterator) -> Iterator:
-    """Batches of columns (or of one column) in slices of ``ROWS`` rows, so that what is made of them stays small."""
-    for batch in batches:
-        n = len(batch[0]) if isinstance(batch, tuple) else len(batch)
-        for at in range(0, n, ROWS):
-            cut = slice(at, at + ROWS)
-            yield tuple(c.iloc[cut] for c in batch) if isinstance(batch, tuple) else batch.iloc[cut]
-
-
 def weighted(units: list[list[str]], unit_length: bool = False) -> tuple[int, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(number of units, terms, unit, term, tf, weight) of the (unit, term) pairs of one text's units.
 
