@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.slices import record_parts
 from ..functions.text import character_map
 from .align import LEADING, TRAILING
 
@@ -469,7 +470,7 @@ def _walked(df: DataFrame, walk: Callable[[], Walk], key: str, until: str | None
 
     def run(batches):
         now, open_ = None, None
-        for batch in batches:
+        for batch in record_parts(batches):
             out = []
             for media, _, start, end, text, marks, stop in zip(*(c.to_pylist() for c in batch.columns)):
                 if open_ is None or media != now:
