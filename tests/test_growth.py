@@ -76,3 +76,15 @@ def test_arrow_slices_are_small():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * 100_000] * 50 + ["y"] * 500})
     sizes = [(p.num_rows, sum(map(len, p.column(0).to_pylist()))) for p in slices.record_parts([batch, batch.slice(0, 0)])]
     assert sum(n for n, _ in sizes) == 550 and max(n for n, _ in sizes) <= slices.ROWS
+
+
+def test_line_stage_goes_through_the_named_method(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked, own = [], corpus_pipeline.line_dedup.remove_repeated_lines
+    monkeypatch.setattr(corpus_pipeline.line_dedup, "remove_repeated_lines", lambda df, **k: asked.append(k.get("pairs", False)) or own(df, **k))
+    rows = [(i, f"own {i}\nalpha beta\ngamma delta\nlast {i}", "en", "s", 9) for i in range(9)] + [(9, None, "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert asked == [False, True]
+    assert got == {0: (rows[0][1], 9), 9: (None, 9)} | {i: (f"own {i}\nlast {i}", 12) for i in range(1, 9)}
