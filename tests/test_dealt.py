@@ -1,8 +1,16 @@
 """What is dealt between tasks grows with the texts' own bytes: no lists of characters, no row a character, no product of a media."""
 
+import random
+
+import duckdb
+import pandas as pd
 from pyspark.sql import types as T
 
+from tidemark.functions import slices
 from tidemark.operators import anchors as an
+from tidemark.operators import patches as pt
+from tidemark.plans import texts
+from tidemark.plans.registry import ORACLES
 
 LINES = "media_id long, pos int, start double, end double, text string, chunk int"
 
@@ -41,3 +49,25 @@ def test_long_texts_have_the_same_blocks(spark, monkeypatch):
     want = sorted(map(tuple, an.aligned_blocks(left, right).collect()))
     monkeypatch.setattr(an, "LONG", 10)
     assert want and sorted(map(tuple, an.aligned_blocks(left, right).collect())) == want
+
+
+def test_evidence_is_read_in_slices():
+    text = pd.Series(["Né ﬁ 1", "ab", None, ""] * 60)
+    kept = list(pt._kept.func(iter([text])))
+    assert [k for part in kept for k in part] == ["néfi1", "ab", "", ""] * 60 and max(map(len, kept)) <= slices.ROWS
+    scores = list(pt._score.func(iter([(pd.Series(["abcd"] * 200), pd.Series(["abxd"] * 200))])))
+    assert [x for part in scores for x in part] == [0.75] * 200 and max(map(len, scores)) <= slices.ROWS
+
+
+def test_dominant_phrases_leave_their_rows_only_where_ids_repeat(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda share, n: ", ".join("over" if rng.random() < share else f"word{rng.randrange(9)}{'x' * rng.randrange(9)}" for _ in range(n))
+    rows = [(i, text(rng.choice([0.2, 0.55, 0.6, 0.7, 1.0]), rng.randrange(8, 60))) for i in range(300)] + [(400, "one。" * 60), (401, "x" * 25 + "。" + ("x" * 25 + "，") * 30), (402, None), (403, "la la! " * 40)]
+    for name, all_rows in (("once", rows), ("again", rows + [(7, rows[3][1]), (None, "la! " * 60), (None, "la? " * 60), (400, "one。" * 60)])):
+        spark.createDataFrame(all_rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = texts.dominant_phrases(spark, f"{tmp_path}/{name}")
+        con = duckdb.connect()
+        con.sql(f"create view documents as select * from read_parquet('{tmp_path}/{name}/documents.parquet/*.parquet')")
+        want = con.sql(ORACLES["dominant_phrases"]).fetchall()
+        assert len(want) > 50 and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+        assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == (name == "again")

@@ -105,14 +105,41 @@ r as (select *, row_number() over (partition by doc_id order by hits desc, at_)
 select doc_id, phrase, cast(hits as int) as hits, cast(total as int) as parts from r where k = 1 and length(phrase) <= 24 and hits >= 8 and hits / total >= 0.6
 """)
 def dominant_phrases(spark, d):
-    # counted by rows, not by comparing all parts of a long text with each other
+    table = views.table(spark, d, "documents")
+    own = lambda rows: _phrase_parts(rows).transform(_in_the_middle)
+    # Rows of one doc_id are one document; that is seen by the ids alone.
+    again = table.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    if again.isEmpty():
+        return own(table)
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    return own(table.join(again, same, "left_anti")).unionByName(_counted(_phrase_parts(table.join(again, same, "left_semi"))))
+
+
+def _phrase_parts(docs):
     flat = tx.single_spaced(F.coalesce("text", F.lit("")))
     parts = F.filter(F.split("flat", r"[，,。！？!?；;、\s]+"), lambda x: x != "")
-    docs = views.table(spark, d, "documents").select("doc_id", flat.alias("flat")).where(F.length("flat") >= 160).select("doc_id", parts.alias("parts")).where(F.size("parts") >= 12)
+    docs = docs.select("doc_id", flat.alias("flat")).where(F.length("flat") >= 160)
+    return docs.select("doc_id", F.explode(F.array(parts)).alias("parts")).where(F.size("parts") >= 12)  # explode: parts are made once
+
+
+def _in_the_middle(docs):
+    """A phrase that has 0.6 of a document's parts stands in the middle of them, sorted; no part leaves its row."""
+    n = F.size("parts")
+    middle = F.get(F.sort_array("parts"), (n / 2).cast("int"))
+    rows = docs.select("doc_id", "parts", F.explode(F.array(middle)).alias("phrase"))
+    rows = rows.select("doc_id", "phrase", (n - F.size(F.array_remove("parts", F.col("phrase")))).alias("hits"), n.alias("parts"))
+    return _dominant(rows)
+
+
+def _counted(docs):
     rows = docs.select("doc_id", F.size("parts").alias("total"), F.posexplode("parts").alias("i", "phrase"))
     counts = rows.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).cast("int").alias("hits"), F.min("i").alias("first"), F.max("total").alias("parts"))
     top = counts.groupBy("doc_id").agg(F.max_by(F.struct("phrase", "hits", "parts"), F.struct("hits", -F.col("first"))).alias("t")).select("doc_id", "t.*")
-    return top.where((F.length("phrase") <= 24) & (F.col("hits") >= 8) & (F.col("hits") / F.col("parts") >= 0.6))
+    return _dominant(top)
+
+
+def _dominant(rows):
+    return rows.where((F.length("phrase") <= 24) & (F.col("hits") >= 8) & (F.col("hits") / F.col("parts") >= 0.6))
 
 
 @register("select page_id, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as plain from pages")
