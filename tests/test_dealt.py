@@ -4,10 +4,13 @@ import random
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import slices
+from tidemark.functions import text as tx
 from tidemark.operators import anchors as an
+from tidemark.operators import audit
 from tidemark.operators import patches as pt
 from tidemark.plans import texts
 from tidemark.plans.registry import ORACLES
@@ -71,3 +74,14 @@ def test_dominant_phrases_leave_their_rows_only_where_ids_repeat(spark, tmp_path
         want = con.sql(ORACLES["dominant_phrases"]).fetchall()
         assert len(want) > 50 and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
         assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == (name == "again")
+
+
+def test_the_gate_splits_a_text_once(spark):
+    rng = random.Random(4)
+    rows = [(i, ", ".join("over" if rng.random() < share else f"word{rng.randrange(9)}{'x' * rng.randrange(30)}" for _ in range(n))) for i in range(200) for share, n in [(rng.choice([0, 0.55, 0.6, 0.65, 1.0]), rng.randrange(5, 60))]]
+    df = spark.createDataFrame(rows + [(500, None), (501, ""), (502, "la " * 60), (503, "x" * 25 + (", " + "x" * 25) * 20), (504, " ，" * 90)], "media_id long, text string")
+    got = tx.phrase_filled(df)
+    assert got.columns == df.columns
+    want = {r["media_id"] for r in df.where(tx.dominant_phrase(F.col("text")).isNotNull()).collect()}
+    assert len(want) > 20 and {r["media_id"] for r in got.collect()} == want
+    assert audit.table_issue(df)._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

@@ -9,7 +9,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,6 +154,18 @@ def dominant_phrase(text: Column) -> Column:
     return F.when(hit, F.struct(phrase.alias("phrase"), n.alias("count"), F.size(parts).alias("parts")))
 
 
+def phrase_filled(df: DataFrame, text: str = "text") -> DataFrame:
+    """Rows whose text has a ``dominant_phrase``. A filter would split and sort a text anew for each of its conditions; an
+    explode of one value makes it once."""
+    once = lambda rows, name, c: rows.withColumn(name, F.explode(F.array(c)))
+    rows = once(df, "_flat", single_spaced(F.col(text))).where(F.length("_flat") >= 160)
+    rows = once(rows, "_parts", F.array_remove(F.split("_flat", r"[，,。！？!?；;、\s]+"), "")).where(F.size("_parts") >= 12)
+    size = F.size("_parts")
+    rows = once(rows, "_phrase", F.get(F.sort_array("_parts"), F.floor(size / 2).cast("int"))).where(F.length("_phrase") <= 24)
+    rows = once(rows, "_n", size - F.size(F.array_remove("_parts", F.col("_phrase"))))
+    return rows.where((F.col("_n") >= 8) & (F.col("_n") / size >= 0.6)).select(*df.columns)
+
+
 def sanitized(text: Column) -> Column:
     """struct(text, reason): the text without protocol marks; where one short phrase fills it, nothing but that as reason."""
     clean = without_protocol(text)

@@ -37,7 +37,7 @@ def order_findings(df: DataFrame) -> DataFrame:
 
 def global_repetition(df: DataFrame, least: int = 8, share: float = 0.3) -> DataFrame:
     """Media where one text fills ``share`` of at least ``least`` rows."""
-    inside = df.where(tx.dominant_phrase(F.col("text")).isNotNull()).select(KEY).distinct().withColumn("_inside", F.lit(True))
+    inside = tx.phrase_filled(df.select(KEY, "text")).select(KEY).distinct().withColumn("_inside", F.lit(True))
     texts = df.where(F.trim("text") != "").groupBy(KEY, tx.compact(F.col("text")).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("end"))
     got = texts.groupBy(KEY).agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.max("end").alias("end"))
     got = got.where((F.col("total") >= least) & (F.col("most") >= least) & (F.col("most") / F.col("total") >= share))
@@ -112,7 +112,7 @@ def audit(segments: DataFrame, speech: DataFrame, words: DataFrame | None = None
 def table_issue(df: DataFrame, rows: int = 20, many: int = 40) -> DataFrame:
     """(media_id, issue) where a phrase fills a row, one text fills a long transcript, or few texts make it up; null issues are
     left out."""
-    inside = df.where(tx.dominant_phrase(F.col("text")).isNotNull()).select(KEY).distinct().withColumn("_inside", F.lit(True))
+    inside = tx.phrase_filled(df.select(KEY, "text")).select(KEY).distinct().withColumn("_inside", F.lit(True))
     texts = df.where(F.trim("text") != "").groupBy(KEY, tx.single_spaced(F.col("text")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
     got = texts.groupBy(KEY).agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
     got = got.join(inside, KEY, "left")
