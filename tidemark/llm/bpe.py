@@ -16,14 +16,13 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import id_and_text, list_array, spread, uncarried
 from .merges import PairTable, kept, replay
-from .pretokens import Corpus
+from .pretokens import Corpus, Pieces
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,7 +47,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
     along = [c for c in ("text", "carried") if carried]
 
     def split():
-        return kept(pattern, lambda: regex.compile(pattern)).findall
+        return kept("pieces " + pattern, lambda: Pieces(pattern))
 
     def merged(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         table = kept(name, lambda: PairTable.from_ranks(shared.value))

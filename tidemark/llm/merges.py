@@ -5,6 +5,10 @@ hold (filed under its rank, which pairs of one joined token share), the places w
 index is always taken next, its places from left to right; a merge looks up only the two pairs that its neighbours now
 form and files them. As words don't touch each other, each gets its merges in its own order: lowest rank first, leftmost
 of equals, and a merge that opens a pair of lower rank has it taken before anything else.
+
+Short words, nearly all of them, go by arrays: the index is one sorted list of (rank, place). A walk through it takes the
+first place of each word, all at once, and the pairs that these merges form are filed for the next walk. Walks are as many
+as the merges of one word; a long word, which would need too many, goes by the same index in a heap, a merge at a time.
 """
 
 from __future__ import annotations
@@ -15,8 +19,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
+from .common import spread
+
 #: Bytes of words that are merged together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
+
+#: Bytes of the longest word that goes by walks.
+SHORT = 64
 
 
 class PairTable:
@@ -26,6 +35,20 @@ class PairTable:
         self.size, self.byte_ids = size, np.array(byte_ids, dtype=np.int64)
         self.pairs = {a * size + b: (rank, joined) for a, b, rank, joined in pairs}
         self.whole = whole or {}
+        keys = np.fromiter(self.pairs, dtype=np.int64, count=len(self.pairs))
+        found = np.array(list(self.pairs.values()), dtype=np.int64).reshape(-1, 2)
+        order = np.argsort(keys)
+        levels, level = np.unique(found[order, 0], return_inverse=True)
+        self._keys, self._level = np.append(keys[order], -1), np.append(level, -1)
+        self.joined = np.zeros(len(levels), dtype=np.int64)
+        self.joined[level] = found[order, 1]
+        self.first = self.levels(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
+
+    def levels(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair's rank among all ranks, -1 where the pair doesn't merge; ``joined`` follows it."""
+        keys = left * self.size + right
+        at = np.searchsorted(self._keys[:-1], keys)
+        return np.where(self._keys[at] == keys, self._level[at], -1)
 
     @classmethod
     def from_ranks(cls, ranks: dict[bytes, int]) -> PairTable:
@@ -74,22 +97,71 @@ def batches(words: list[bytes]) -> Iterator[list[bytes]]:
 
 def replay(words: list[bytes], table: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all words one after another, and how many each word has."""
-    done = [_replay(lot, table) for lot in batches(words)]
-    if not done:
-        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-    flat, counts = zip(*done)
-    return np.concatenate(flat), np.concatenate(counts)
+    counts = np.ones(len(words), dtype=np.int64)
+    if not words:
+        return np.zeros(0, dtype=np.int32), counts
+    whole = table.whole.get
+    given = np.fromiter((whole(w, -1) for w in words), dtype=np.int64, count=len(words))
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    lots = []
+    for places, step in ((np.flatnonzero((given < 0) & (sizes <= SHORT)), _walked), (np.flatnonzero((given < 0) & (sizes > SHORT)), _replay)):
+        done = [step(lot, table) for lot in batches([words[i] for i in places.tolist()])]
+        if done:
+            flat, own = map(np.concatenate, zip(*done))
+            counts[places] = own
+            lots.append((places, flat, own))
+    start = np.cumsum(counts) - counts
+    ids = np.empty(int(counts.sum()), dtype=np.int32)
+    settled = given >= 0
+    ids[start[settled]] = given[settled]
+    for places, flat, own in lots:
+        ids[spread(start[places], own)] = flat
+    return ids, counts
+
+
+def _walked(words: list[bytes], table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    n = len(data)
+    token, word = table.byte_ids[data], np.repeat(np.arange(len(words)), sizes)
+    # one place more on either side, so that a neighbour that is not there (-1) can be written to
+    after, before = np.append(np.arange(1, n + 1), -1), np.append(np.arange(-1, n - 1), -1)
+    full = sizes > 0
+    ends = np.cumsum(sizes)
+    after[ends[full] - 1] = -1
+    before[(ends - sizes)[full]] = -1
+    level = np.full(n + 1, -1, dtype=np.int64)  # of the pair that stands at each place
+    at = np.flatnonzero(after[:n] >= 0)
+    level[at] = table.first[data[at].astype(np.int64) * 256 + data[at + 1]]
+    at = at[level[at] >= 0]
+    index = np.sort(level[at] << 32 | at)
+    first = np.zeros(len(words), dtype=np.int64)
+    while len(index):
+        at = index & 0xFFFFFFFF
+        own = word[at]
+        first[own[::-1]] = at[::-1]  # the last one written stays
+        taken = first[own] == at
+        p = at[taken]
+        q = after[p]
+        r = after[q]
+        token[p], token[q] = table.joined[index[taken] >> 32], -1
+        after[p], after[q], before[r] = r, -1, p
+        level[p] = level[q] = -1
+        left = np.concatenate([before[p], p[r >= 0]])
+        left = left[left >= 0]
+        level[left] = table.levels(token[left], token[after[left]])
+        rest = index[~taken]
+        rest = rest[level[rest & 0xFFFFFFFF] == rest >> 32]
+        left = left[level[left] >= 0]
+        index = np.sort(np.concatenate([rest, level[left] << 32 | left]))
+    left = token >= 0
+    return token[left].astype(np.int32), np.bincount(word[left], minlength=len(words)).astype(np.int64)
 
 
 def _replay(words: list[bytes], table: PairTable) -> tuple[np.ndarray, np.ndarray]:
-    whole = [table.whole.get(w) for w in words] if table.whole else [None] * len(words)
-    sizes = np.fromiter((len(w) if t is None else 1 for w, t in zip(words, whole)), dtype=np.int64, count=len(words))
-    data = table.byte_ids[np.frombuffer(b"".join(w for w, t in zip(words, whole) if t is None), dtype=np.uint8)]
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    start = table.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
     word = np.repeat(np.arange(len(words)), sizes)
-    settled = np.array([t is not None for t in whole], dtype=bool)
-    start = np.empty(len(word), dtype=np.int64)
-    start[~settled[word]] = data
-    start[settled[word]] = [t for t in whole if t is not None]
     n = len(start)
     after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
     full = sizes > 0

@@ -17,15 +17,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import id_and_text
 from .merges import PairTable, kept, replay
-from .pretokens import Corpus, sizes_of
+from .pretokens import Corpus, Pieces, sizes_of
 
 
-class Splitter:
+class Splitter(Pieces):
     """Pre-tokens and special strings of a text. ``definition`` is the text of a tokenizer file with byte-level pre-tokens."""
 
     def __init__(self, definition: str, pattern: str):
@@ -39,14 +38,14 @@ class Splitter:
             raise ValueError("only plain byte-level files are counted by pre-token")
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("added tokens that take their surroundings with them can't be cut out")
-        self.split = regex.compile(pattern).findall
+        super().__init__(pattern)
         special = sorted((t["content"] for t in added if t["content"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
-    def words(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[str]:
         if self.special is None or not self.special.search(text):
-            return self.split(text)
-        return [w for part in self.special.split(text) for w in self.split(part)]
+            return super().pieces(text)
+        return [piece for part in self.special.split(text) for piece in super(Splitter, self).pieces(part)]
 
     def marks(self, text: str) -> int:
         return len(self.special.findall(text)) if self.special else 0
@@ -75,5 +74,4 @@ def count_tokens(df: DataFrame, definition: str, pattern: str, limit: int = 512,
             n_tokens += np.bincount(row, weights=times * sizes[word], minlength=len(counts)).astype(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), sizes_of(batch), pa.array(n_tokens), pa.array(n_tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    words = lambda: splitter().words
-    return corpus.joined(corpus.valued(words, pieces, False), words, made, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return corpus.joined(corpus.valued(splitter, pieces, False), splitter, made, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
