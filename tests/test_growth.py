@@ -1,15 +1,19 @@
 """What makes the cost of large tables grow with them only: plans without exchanges, matching without products, small slices."""
 
 import random
+import re
+import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
 
 from tidemark.functions import slices
+from tidemark.functions import text as tx
 from tidemark.operators import align as al
 from tidemark.operators import context as cx
 from tidemark.operators import retrieval as rt
+from tidemark.plans import patched
 
 
 def plan(df):
@@ -72,6 +76,25 @@ def test_long_texts_are_not_matched_by_difflib(monkeypatch):
     assert al.placed_lines(lines, words)[0] > 0.72
 
 
+def test_edits_of_turns_take_three_steps_in_python_and_no_lists_of_characters(spark, tmp_path):
+    rng = random.Random(7)
+    turns = [(m, k, "".join(rng.choice("eEaA -éﬁx") for _ in range(rng.randrange(60)))) for m in (1, 2, None) for k in range(20)]
+    turns += [(3, 0, "e a," * 5000), (3, 1, None), (3, 2, "，"), (3, 3, "Ea")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    made = patched.applied_edits(spark, str(tmp_path))
+    assert plan(made).count("ArrowEvalPython") == 3 and "chars" not in plan(made)
+    got = sorted(((r["media_id"] or 0, r["pos"]), r["text"], r["n_applied"]) for r in made.collect())
+    assert got == sorted(((m or 0, k), *re.subn("[eE][^0-9a-zA-Zéﬁ]*[aA]", "oy", t)) for m, k, t in turns if t and re.search("[a-zA-Zéﬁ]", t))
+
+
+def test_character_maps_equal_those_of_each_form():
+    for text in ("", "Ab_1 -", "ﬁ㎡İ½ é Ａ中_、", "".join(chr(c) for c in range(0x20, 0x3000))):
+        forms = [unicodedata.normalize("NFKC", c).lower() for c in text]
+        want = [(c, i) for i, form in enumerate(forms) for c in tx.KEPT.findall(form)]
+        chars, places = tx.character_map(text)
+        assert list(zip(chars, places)) == want and len(chars) == len(places) and tx.kept_text(text) == "".join(chars)
+
+
 def test_arrow_slices_are_small():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * 100_000] * 50 + ["y"] * 500})
     sizes = [(p.num_rows, sum(map(len, p.column(0).to_pylist()))) for p in slices.record_parts([batch, batch.slice(0, 0)])]

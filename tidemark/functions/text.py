@@ -6,8 +6,8 @@ import html
 import json
 import re
 import unicodedata
+from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -221,18 +221,21 @@ def transcript_text(text: pd.Series) -> pd.Series:
     return text.map(lambda t: "".join(c for c in unicodedata.normalize("NFKC", t).lower() if keep(c)), na_action="ignore")
 
 
+@lru_cache(maxsize=1 << 16)
+def _kept_form(c: str) -> str:
+    """The letters and digits that NFKC and lower case make of a character."""
+    return "".join(KEPT.findall(unicodedata.normalize("NFKC", c).lower()))
+
+
 def character_map(text: str) -> tuple[list[str], list[int]]:
     """Normalised characters and, for each, the place in the text that it comes from."""
-    forms = [unicodedata.normalize("NFKC", c).lower() for c in text]
-    whole = "".join(forms)
-    origin = np.repeat(np.arange(len(forms)), [len(f) for f in forms])
-    found = [m.start() for m in KEPT.finditer(whole)]
-    return [whole[i] for i in found], origin[found].tolist() if found else []
+    forms = list(map(_kept_form, text))
+    return list("".join(forms)), [i for i, form in enumerate(forms) for _ in form]
 
 
 def kept_text(text: str) -> str:
     """The normalised characters of ``character_map`` as one text."""
-    return ASCII_LEFT.sub("", text.lower()) if text.isascii() else "".join(character_map(text)[0])
+    return ASCII_LEFT.sub("", text.lower()) if text.isascii() else "".join(map(_kept_form, text))
 
 
 @F.pandas_udf(T.StructType().add("chars", T.ArrayType(T.StringType())).add("places", T.ArrayType(T.IntegerType())))
